@@ -49,3 +49,77 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+#: Hashing of byte strings by polynomials modulo 2**64 with one random 64-bit value for each byte value. The base is odd, so
+#: its powers have inverses and any stretch of a prefix sum can be moved to position 0.
+SEGMENT = 1 << 20
+_RNG = np.random.default_rng(0x5EED)
+BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TABLES: list[np.ndarray] = []
+
+
+def _powers() -> list[np.ndarray]:
+    """BASE**i and its inverse for every position in a segment, made once in each worker."""
+    if not _TABLES:
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            out = np.ones(SEGMENT + 1, np.uint64)
+            n = 1
+            while n < len(out):
+                step = np.uint64(pow(base, n, 1 << 64))
+                some = min(n, len(out) - n)
+                out[n : n + some] = out[:some] * step
+                n += some
+            _TABLES.append(out)
+    return _TABLES
+
+
+def _prefix_sums(segment: np.ndarray) -> np.ndarray:
+    power, _ = _powers()
+    out = np.zeros(len(segment) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[segment] * power[: len(segment)], out=out[1:])
+    return out
+
+
+def gram_hashes(data: bytes, k: int) -> np.ndarray:
+    """A 64-bit hash of the k bytes from every position on."""
+    raw = np.frombuffer(data, np.uint8)
+    n = max(0, len(raw) - k + 1)
+    out = np.empty(n, np.uint64)
+    step = SEGMENT - k + 1
+    for at in range(0, n, step):
+        sums = _prefix_sums(raw[at : at + SEGMENT])
+        some = min(step, n - at)
+        out[at : at + some] = (sums[k : k + some] - sums[:some]) * _powers()[1][:some]
+    return mix64(out)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every run of bytes other than ASCII white space, in order; A-Z count as a-z."""
+    raw = np.frombuffer(data.lower(), np.uint8)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + SEGMENT)
+        if end < len(raw):
+            gaps = np.flatnonzero(_SPACE[raw[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                gaps = np.flatnonzero(_SPACE[raw[end:]])
+                end = end + int(gaps[0]) + 1 if len(gaps) else len(raw)
+        part = raw[at:end]
+        at = end
+        edges = np.diff(np.concatenate(([1], _SPACE[part].view(np.int8), [1])))
+        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        if len(part) <= SEGMENT:
+            sums = _prefix_sums(part)
+            out.append((sums[ends] - sums[starts]) * _powers()[1][starts])
+        else:  # one word longer than a segment
+            total = 0
+            for i in range(int(starts[0]), int(ends[0]), SEGMENT):
+                total = (total * 31 + int(_prefix_sums(part[i : min(i + SEGMENT, int(ends[0]))])[-1])) & ((1 << 64) - 1)
+            out.append(np.array([total], np.uint64))
+    return mix64(np.concatenate(out)) if out else np.zeros(0, np.uint64)
