@@ -28,6 +28,11 @@ def short(hashes: np.ndarray, groups: int) -> np.ndarray:
     return hashes >> np.uint64(32 - bits(groups))
 
 
+def bucket(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """A hash's bucket, from its highest bits."""
+    return (hashes >> np.uint64(1) >> np.uint64(63 - bits(groups))).astype(np.int64)
+
+
 def sent(g: int, values: np.ndarray, counts: np.ndarray, groups: int) -> pa.Table:
     """Rows for a group's distinct short hashes, sorted, with the number of its documents that hold each."""
     b = bits(groups)

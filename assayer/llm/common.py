@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a table written to the shared checkpoint folder; compressed, unlike a checkpoint."""
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def n_groups(spark: SparkSession) -> int:
     """Groups that documents are dealt into: one for each shuffle partition, a setting that follows the input's size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
