@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,14 @@ CAPACITY = 4096
 END_ID = 1
 OPEN = 8192
 DOCS_PER_PACKER = 32768
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 300_000
+CACHE_MARKS = 10_000
 CACHED_LENGTH = 48
+LETTERS_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+#: Its lower case depends on its neighbours in Python, not in the tokenizer.
+SIGMA = "\u03a3"
+#: Byte-level vocabularies write a byte that has no printable form as the next free character from 256 on.
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -42,8 +51,47 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Chunk of text -> its ids as little-endian 32-bit integers; bounded, so that any text can pass."""
+class Generations(dict):
+    """A cache of bounded size: when the young generation is full it becomes the old one, and keys still in use come back."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(key) <= CACHED_LENGTH:
+            if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+    def encode(self, key: str) -> bytes:
+        raise NotImplementedError
+
+
+class Words(Generations):
+    """Lower-case letters -> ids of the model."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model = model
+
+    def encode(self, key: str) -> bytes:
+        if not key.isascii():
+            key = key.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(key)]).tobytes()
+
+
+class Encoder(Generations):
+    """Chunk of text -> its ids as little-endian 32-bit integers.
+
+    A chunk of letters with marks after it is two pre-tokens, which go to the model straight away; any other form takes the
+    tokenizer's whole way.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -52,21 +100,23 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.words = Words(self.tokenizer.model)
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def encode(self, chunk: str) -> bytes:
+        form = LETTERS_AND_MARKS.fullmatch(chunk)
+        word = form[1].lower() if form else ""
+        if not word.isalpha() or not form[1].isalpha() or SIGMA in chunk or not unicodedata.is_normalized("NFC", chunk):
+            return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        marks = self.marks.get(form[2])
+        if marks is None:
+            marks = np.asarray(self.tokenizer.encode(form[2], add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.marks) < CACHE_MARKS:
+                self.marks[form[2]] = marks
+        return self.words[word] + marks
 
     def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        missing = [c for c in set(chunks) if c not in self]
-        if len(self) + len(missing) > CACHE_CHUNKS:
-            self.clear()
-            missing = list(set(chunks))
-        if missing:
-            for chunk, encoded in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                self[chunk] = np.asarray(encoded.ids, "<u4").tobytes()
-        ids = b"".join(map(self.__getitem__, chunks))
-        for chunk in missing:
-            if len(chunk) > CACHED_LENGTH:
-                del self[chunk]
-        return ids
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, Encoder] = {}
