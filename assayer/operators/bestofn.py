@@ -99,7 +99,7 @@ def copeland(edges: DataFrame, keys: tuple[str, ...] = ("pool_id", "n"), salt: s
     order = F.struct((-F.col("points")).alias("p"), sha(F.lit(salt), "pool_id", "uid").alias("h"))
     best = totals.groupBy(*keys).agg(F.min_by("uid", order).alias("selected_uid"), F.max("points").alias("top"), F.count("*").alias("_nodes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("uid", "points")))).alias("scores"))
     tied = F.size(F.filter(F.map_values("scores"), lambda v: v == F.col("top"))) > 1
-    counts = edges.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("outcome").isin("tie", "abstain")).alias("ties"), F.count_if("outcome = 'abstain'").alias("semantic_abstentions"), F.count_distinct(F.least("left_uid", "right_uid"), F.greatest("left_uid", "right_uid")).alias("_distinct"))
+    counts = edges.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("outcome").isin("tie", "abstain")).alias("ties"), F.count_if(F.expr("outcome = 'abstain'")).alias("semantic_abstentions"), F.count_distinct(F.least("left_uid", "right_uid"), F.greatest("left_uid", "right_uid")).alias("_distinct"))
     out = best.join(counts, list(keys))
     whole = (F.col("_distinct") == F.col("n_pairs")) & (F.col("n_pairs") * 2 == F.col("_nodes") * (F.col("_nodes") - 1))
     selected = F.when(whole, F.col("selected_uid")).otherwise(F.raise_error(F.concat(F.lit("incomplete pair graph in pool "), F.col("pool_id"))).cast("string"))

@@ -25,7 +25,7 @@ def merge_shards(shards: DataFrame, order: list[str | Column], model: str = "mod
         same = same & F.col(c).eqNullSafe(F.first(c).over(ordered))
     ranked = shards.withColumns({"_n": F.row_number().over(ordered), "_same": same})
     merged = ranked.where("_n = 1").drop("_n", "_same").withColumn("key", F.concat_ws("::", model, item))
-    report = ranked.agg(F.count("*").alias("n_input_rows"), F.count_if("_n = 1").alias("n_merged"), F.count_if("_n > 1").alias("n_duplicates"), F.count_if(F.expr("_n > 1") & ~F.col("_same")).alias("n_conflicts"))
+    report = ranked.agg(F.count("*").alias("n_input_rows"), F.count_if(F.expr("_n = 1")).alias("n_merged"), F.count_if(F.expr("_n > 1")).alias("n_duplicates"), F.count_if(F.expr("_n > 1") & ~F.col("_same")).alias("n_conflicts"))
     return merged, report
 
 
@@ -35,7 +35,7 @@ def conflicts(shards: DataFrame, order: list[str | Column], model: str = "model_
     differs = F.lit(False)
     for c in compare:
         differs = differs | ~F.col(c).eqNullSafe(F.first(c).over(ordered))
-    return shards.withColumn("_d", differs).groupBy(model, item).agg(F.count_if("_d").alias("conflicts")).where("conflicts > 0")
+    return shards.withColumn("_d", differs).groupBy(model, item).agg(F.count_if(F.expr("_d")).alias("conflicts")).where("conflicts > 0")
 
 
 def remaining(items: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -58,9 +58,14 @@ def ols(df: DataFrame, by: list[str], y: str, predictors: list[str]) -> DataFram
     return df.select(*by, *[F.col(c).cast("double").alias(c) for c in (y, *predictors)]).groupBy(*by).applyInPandas(fit, schema)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where one side doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def simple_regression(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     """One predictor: slope, intercept, r2 and Pearson correlation by built-in aggregates."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(y, x).alias("pearson"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), correlation(y, x).alias("pearson"))
 
 
 def adjusted_r2(r2: Column, n: Column, predictors: int) -> Column:

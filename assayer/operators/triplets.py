@@ -134,7 +134,7 @@ def irrelevant_transitions(done: DataFrame) -> DataFrame:
 
 def bookkeeping(judgments: DataFrame, gold: DataFrame, seq: Column) -> DataFrame:
     """By model: rows by status, ok rows without a preference, triplets, incomplete ones and those without gold."""
-    rows = judgments.groupBy("model_id").agg(F.count("*").alias("rows"), F.count_if("status = 'ok'").alias("ok"), F.count_if("status <> 'ok'").alias("not_ok"), F.count_if(F.expr("status = 'ok'") & preference("parsed_preference").isNull()).alias("ok_unparsed"))
+    rows = judgments.groupBy("model_id").agg(F.count("*").alias("rows"), F.count_if(F.expr("status = 'ok'")).alias("ok"), F.count_if(F.expr("status <> 'ok'")).alias("not_ok"), F.count_if(F.expr("status = 'ok'") & preference("parsed_preference").isNull()).alias("ok_unparsed"))
     triplets = pivoted(judgments, seq).join(gold.select("triplet_id", F.lit(True).alias("_gold")), "triplet_id", "left")
     whole = F.expr("y_b is not null and y_r is not null and y_i is not null")
     counts = triplets.groupBy("model_id").agg(F.count("*").alias("triplets"), F.count_if(~whole).alias("incomplete"), F.count_if(F.col("_gold").isNull()).alias("without_gold"))

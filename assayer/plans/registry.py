@@ -1,6 +1,8 @@
-"""Every query of the engine by name, with SQL that gives the same rows."""
+"""Every query of the engine by name, with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import integrity, metrics, pools, tables  # noqa: F401  (they enter their queries)
+from .catalog import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
