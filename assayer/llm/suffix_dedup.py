@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import census
-from .common import SEGMENT, bytes_list, documents, gram_hashes, n_groups, stored
+from .common import SEGMENT, bytes_list, documents, gram_hashes, mix64, n_groups, stored
 
 LEAST, GRAM = 50, 24
 SPAN = LEAST - GRAM + 1
@@ -64,7 +64,7 @@ def anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
         keep = inside[change]
         firsts.append(change[keep] + at)
         counts.append(length[keep])
-        hashes.append(h[place[change[keep]]])
+        hashes.append(mix64(h[place[change[keep]]]))  # anchors are least hashes; mixed again they fill the hash space evenly
     if not firsts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(firsts), np.concatenate(counts), np.concatenate(hashes)
