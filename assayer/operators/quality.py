@@ -245,7 +245,7 @@ def greedy_repair(downstream: DataFrame, static: DataFrame, audit: DataFrame, po
             out.append((row.item_id, found.item_id, row.factor, row.carrier, found.image))
         return pd.DataFrame(out, columns=["item_id", "replacement_id", "factor", "carrier", "image"])
 
-    return rows.groupBy(F.lit(0)).applyInPandas(choose, "item_id string, replacement_id string, factor string, carrier string, image string")
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "item_id string, replacement_id string, factor string, carrier string, image string")
 
 
 def generated_specs(spark: SparkSession, factor: str, n: int, seed: int = 20260912) -> DataFrame:

@@ -248,10 +248,10 @@ def paired_items(spark, d):
     return rounded(out.agg(F.count("*").alias("items"), (F.avg(F.col("left_value") - F.col("right_value")) * 100.0).alias("difference_pp")))
 
 
-@query(f"""WITH {t_sql()}, a AS (SELECT CAST(triplet_id AS BIGINT) // 40 AS triplet_id, factor, max(c_r) AS r, max(c_i) AS i FROM t WHERE model_id = 'm0' AND c_b = 1 GROUP BY ALL), b AS (SELECT CAST(triplet_id AS BIGINT) // 40 AS triplet_id, factor, max(c_r) AS r, max(c_i) AS i FROM t WHERE model_id = 'm1' AND c_b = 1 GROUP BY ALL)
+@query(f"""WITH {t_sql()}, a AS (SELECT CAST(triplet_id AS BIGINT) // 400 AS triplet_id, factor, max(c_r) AS r, max(c_i) AS i FROM t WHERE model_id = 'm0' AND c_b = 1 GROUP BY ALL), b AS (SELECT CAST(triplet_id AS BIGINT) // 400 AS triplet_id, factor, max(c_r) AS r, max(c_i) AS i FROM t WHERE model_id = 'm1' AND c_b = 1 GROUP BY ALL)
 SELECT factor, count(*) AS n, round(avg(a.r), 6) AS RA_a, round(avg(b.r), 6) AS RA_b, round(avg(a.i), 6) AS II_a, round(avg(b.i), 6) AS II_b FROM a JOIN b USING (triplet_id, factor) GROUP BY factor""")
 def common_support(spark, d):
-    near = done(spark, d).where("c_b = 1").groupBy("model_id", F.floor(F.col("triplet_id").cast("long") / 40).alias("triplet_id"), "factor").agg(F.max("c_r").alias("c_r"), F.max("c_i").alias("c_i"), F.lit(1).alias("c_b"))
+    near = done(spark, d).where("c_b = 1").groupBy("model_id", F.floor(F.col("triplet_id").cast("long") / 400).alias("triplet_id"), "factor").agg(F.max("c_r").alias("c_r"), F.max("c_i").alias("c_i"), F.lit(1).alias("c_b"))
     return rounded(M.common_support(near, "m0", "m1"))
 
 
@@ -326,7 +326,7 @@ def cluster_bootstrap(spark, d):
 
 @query()
 def paired_bootstrap(spark, d):
-    near = done(spark, d).where("c_b = 1").groupBy("model_id", F.floor(F.col("triplet_id").cast("long") / 40).alias("slot"), "factor").agg(F.max("c_r").alias("v"))
+    near = done(spark, d).where("c_b = 1").groupBy("model_id", F.floor(F.col("triplet_id").cast("long") / 400).alias("slot"), "factor").agg(F.max("c_r").alias("v"))
     one = lambda m: near.where(F.col("model_id") == m).select("slot", "factor", F.col("v").alias(m))
     return rounded(S.paired_bootstrap(one("m0").join(one("m1"), ["slot", "factor"]), ["factor"], "m0", "m1", 1000))
 

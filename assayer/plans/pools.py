@@ -112,9 +112,9 @@ def reciprocal_consistency(spark, d):
     return per.groupBy("model_id").agg(F.sum("both_orders").alias("both_orders"), F.sum("consistent").alias("consistent"))
 
 
-@query(f"{WITH} SELECT pool_id, count(*) AS edges, count(*) AS pairs FROM eo WHERE model_id = 'm0' AND (CAST(pool_id AS BIGINT) % 5 <> 0 OR outcome <> 'tie') GROUP BY pool_id HAVING count(*) <> 28")
+@query(f"{WITH} SELECT pool_id, count(*) AS edges, count(*) AS pairs FROM eo WHERE model_id = 'm1' AND (CAST(pool_id AS BIGINT) % 5 <> 0 OR outcome <> 'tie') GROUP BY pool_id HAVING count(*) <> 28")
 def graph_problems(spark, d):
-    edges = graph(spark, d).where("model_id = 'm0'").where((F.col("pool_id").cast("long") % 5 != 0) | (F.col("outcome") != "tie"))
+    edges = graph(spark, d).where("model_id = 'm1'").where((F.col("pool_id").cast("long") % 5 != 0) | (F.col("outcome") != "tie"))
     return B.graph_problems(edges).select("pool_id", "edges", "pairs")
 
 
