@@ -17,7 +17,7 @@ SIZES = (2, 4, 8)
 def candidates(pools: DataFrame) -> DataFrame:
     """A row for each candidate: pool_id, uid, index, text, is_gold, and what is wrong with its pool (null: nothing)."""
     gold = normal(first_filled("gold_answer", "gold"))
-    pool = first_filled("pool_id", "item_id", "question_id") if "pool_id" in pools.columns else first_filled("item_id", "question_id")
+    pool = first_filled(*[c for c in ("pool_id", "item_id", "question_id") if c in pools.columns])
     texts = F.transform("candidates", lambda c: normal(c["text"]))
     uids = F.transform("candidates", lambda c, i: candidate_uid(i, c["text"], c["candidate_uid"]))
     hits = F.size(F.filter(texts, lambda t: t == gold))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import compact, projected_radius, relation_holds, sha, status_of
 from ..schemas import VARIANTS
 
-EDGE, LEAST_RADIUS, OVERLAP = 12.0, 6.0, 0.8
+# Pixels from the edge, least projected radius, and distance over the smaller radius.
+EDGE, LEAST_RADIUS, OVERLAP = 8.0, 6.0, 0.55
 OBJECT = "struct<object_id: string, shape: string, color: string, size: string, x: double, y: double, pixel_coords: array<double>, coords: array<double>>"
 CONTRACT = "struct<cycles_seed: long, camera_location: array<double>, lamp_key_location: array<double>, lamp_fill_location: array<double>, lamp_back_location: array<double>, camera_jitter: double>"
 SCENE = f"struct<preferred: string, target_count: int, contract: {CONTRACT}, objects: array<{OBJECT}>>"
@@ -36,8 +37,8 @@ def label_flags() -> Column:
     )
 
 
-def same_place(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
-    return F.coalesce(F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), lambda ok: ok), F.lit(False))
+def same_place(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
+    return F.coalesce(F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) < tolerance), lambda ok: ok), F.lit(False))
 
 
 def contract_flags() -> Column:
@@ -135,7 +136,7 @@ def spatial_flags() -> Column:
     whole = reduce(lambda a, b: a & b, [r.isNotNull() for r in roles])
     holds = lambda v, d: relation_holds(by_id(v, "referent")["coords"], by_id(v, "anchor")["coords"], F.col(f"{d}_vector"))
     shift = lambda name, v, axis: by_id(v, name)[axis] - by_id("base", name)[axis]
-    matched = reduce(lambda a, b: a & b, [F.abs(shift("referent", "relevant", x) - shift("distractor", "irrelevant", x)) <= 1e-3 for x in "xy"])
+    matched = reduce(lambda a, b: a & b, [F.abs(shift("referent", "relevant", x) - shift("distractor", "irrelevant", x)) < 1e-3 for x in "xy"])
     rules = compact(
         F.when(~holds("base", "left"), "FAIL: base relation is not left-of"),
         F.when(~holds("relevant", "right"), "FAIL: relevant did not flip to right-of"),
@@ -262,7 +263,7 @@ def generated_specs(spark: SparkSession, factor: str, n: int, seed: int = 202609
             for i in pdf["id"]:
                 rng = random.Random(f"{seed}:{factor}:{i}")
                 shape, color, other = rng.choice(shapes), *rng.sample(colors, 2)
-                thing = lambda name, x, s, c: {"object_id": name, "shape": s, "color": c, "size": "large", "x": x, "y": 0.0, "pixel_coords": [160.0 + 40 * x, 120.0, 9.0], "coords": [x, 0.0, 0.0]}
+                thing = lambda name, x, s, c, row=120.0: {"object_id": name, "shape": s, "color": c, "size": "large", "x": x, "y": 0.0, "pixel_coords": [160.0 + 40 * x, row, 9.0], "coords": [x, 0.0, 0.0]}
                 match = shapes[(shapes.index(shape) + 1) % 3]
                 base = [thing("target", -2.0, shape, color), thing("matched", 2.0, match, color)]
                 if factor == "count":
@@ -272,8 +273,8 @@ def generated_specs(spark: SparkSession, factor: str, n: int, seed: int = 202609
                 elif factor == "presence":
                     edits = [base[1]], [base[0]]
                 else:
-                    base = [thing("referent", -1.0, shape, color), thing("anchor", 0.0, match, other), thing("distractor", -3.0, match, color)]
-                    shift = lambda o: o | {"x": o["x"] + 2.0, "coords": [o["x"] + 2.0, 0.0, 0.0], "pixel_coords": [160.0 + 40 * (o["x"] + 2.0), 120.0, 9.0]}
+                    base = [thing("referent", -1.0, shape, color), thing("anchor", 0.0, match, other), thing("distractor", -3.0, match, color, 60.0)]
+                    shift = lambda o: o | {"x": o["x"] + 2.0, "coords": [o["x"] + 2.0, 0.0, 0.0], "pixel_coords": [160.0 + 40 * (o["x"] + 2.0), o["pixel_coords"][1], 9.0]}
                     edits = [shift(base[0]), *base[1:]], [*base[:2], shift(base[2])]
                 letter, flipped = ("A", "B") if i % 2 == 0 else ("B", "A")
                 contract = {"cycles_seed": int(i), "camera_location": [0.0, -9.0, 6.0], "lamp_key_location": [4.0, 4.0, 6.0], "lamp_fill_location": [-4.0, -3.0, 5.0], "lamp_back_location": [-1.0, 5.0, 4.0], "camera_jitter": 0.0}
