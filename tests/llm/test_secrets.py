@@ -1,0 +1,45 @@
+import math
+import random
+import re
+from collections import Counter
+
+from assayer.llm import secrets as sc
+
+ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+
+
+def base(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(ASSIGN, text, re.ASCII) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(out)
+
+
+def test_base_against_plain_patterns(spark, awkward, nothing):
+    rng = random.Random(8)
+    parts = ["token", "Secret", "API_KEY", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABC123XYZ", "deadbeef", "0123456789abcdef", "é", "x", "\n", "-", "ſecret"]
+    rows = [(i, "".join(rng.choices(parts, k=12))) for i in range(400)]
+    df = awkward.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = {}
+    for r in df.collect():
+        texts.setdefault(r.doc_id, []).append(sc.written(base(r.text or "")))
+    found = sc.secret_spans(df).collect()
+    assert len(found) == df.count() and all(r.base in texts[r.doc_id] and set(filter(None, r.base.split(","))) <= set(r.spans.split(",")) for r in found)
+    assert sc.secret_spans(nothing).count() == 0
+
+
+def test_incremental_entropy():
+    rng = random.Random(1)
+    for _ in range(50):
+        text = "".join(rng.choices("abcdefgh0123", k=rng.randint(20, 60)))
+        want = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(text[i : i + 20]).values()) for i in range(len(text) - 19))
+        assert abs(sc.peak_entropy(text) - want) < 1e-9
+
+
+def test_candidates_and_allow_list():
+    key = "Zk3v9QpLx7Rt2WmYb8Nc4HdS"
+    assert [k for _, k, _ in sc.entropy_spans(f"use {key} here")] == [3]
+    for clean in ("thandorthereouandtheotherwordsagain", "550e8400-e29b-41d4-a716-446655440000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "12345678901234567890123", "abcabcabcabcabcabcabcabc", "some-long-file-name-with-words"):
+        assert sc.entropy_spans(clean) == []
+    both = sc.scan(f"token={key}")
+    assert both[0] == both[1]
