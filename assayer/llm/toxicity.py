@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -97,24 +98,30 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -60, 60)))
 
 
-def train(texts: list[str], labels: list[int], settings: Settings) -> Model:
-    """Fit table and softmax layer together on a sample that the driver holds; its size is settings.sample at most."""
-    y = np.asarray(labels, np.int64)
-    prior = (y.sum() + 1.0) / (len(y) + 2.0) if len(y) else 0.5
-    start = float(np.log(prior / (1 - prior)))
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(settings.buckets, np.float32), start, settings)
+def train(rows: Iterable[tuple[str, int]], settings: Settings) -> Model:
+    """Fit table and softmax layer together on (text, label) rows, settings.sample at most; no text is kept longer than its row."""
     index: dict[str, int] = {}
-    doc_words, doc_counts, sizes = [], [], []
-    for text in texts:
+    labels, doc_words, doc_counts, sizes = [], [], [], []
+    for text, label in rows:
         found = [index.setdefault(w, len(index)) for w in WORD.findall(text.lower())]
         ids, counts = np.unique(np.asarray(found, np.int32), return_counts=True)
+        labels.append(label)
         doc_words.append(ids)
         doc_counts.append((counts / max(1, len(found))).astype(np.float32))
         sizes.append(len(ids))
-    rows = [np.asarray(subwords(w, settings), np.int32) for w in index]
-    grams = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat, first = np.concatenate(rows), np.concatenate(([0], np.cumsum(grams)))
+    y = np.asarray(labels, np.int64)
+    prior = (y.sum() + 1.0) / (len(y) + 2.0) if len(y) else 0.5
+    start = float(np.log(prior / (1 - prior)))
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(settings.buckets, np.float32), start, settings)
+    packed, lengths = array("i"), array("i")
+    for word in index:
+        own = subwords(word, settings)
+        packed.extend(own)
+        lengths.append(len(own))
+    del index
+    flat, grams = np.frombuffer(packed, np.int32), np.frombuffer(lengths, np.int32).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(grams)))
     rng = np.random.default_rng(settings.seed)
     E = rng.normal(0, 1.0 / settings.dim, (settings.buckets, settings.dim)).astype(np.float32)
     W = rng.normal(0, 0.1, (settings.dim, 2)).astype(np.float32)
@@ -156,9 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     """Train on at most settings.sample labelled rows of docs, those whose ids hash lowest; of several labels of an id the highest counts."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = ids.orderBy(F.xxhash64(F.lit(settings.seed), "_id"), "_id").limit(settings.sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").collect()
-    rows.sort(key=lambda r: (r["_id"], r["_text"]))
-    return train([r["_text"] for r in rows], [r["_y"] for r in rows], settings)
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").orderBy("_id", "_text")
+    return train(((r["_text"], r["_y"]) for r in rows.toLocalIterator()), settings)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -171,6 +177,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
             texts = batch.column(batch.num_columns - 1).to_pylist()
             values = own.score([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], into])
+        own.words.clear()
 
     kept = [c for c in docs.columns if c != into]
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(into, T.DoubleType())])
