@@ -115,6 +115,12 @@ class Encoder(Generations):
                 self.marks[form[2]] = marks
         return self.words[word] + marks
 
+    def forget(self) -> None:
+        """Empty the caches; a worker outlives its task, and the memory is other stages' then."""
+        for cache in (self, self.words):
+            cache.clear()
+            cache.old = {}
+
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -148,6 +154,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

@@ -109,6 +109,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
                     texts, size = [], 0
             out += totals(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+        if path in _WORKER:
+            _WORKER[path][1].clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
 
