@@ -283,7 +283,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col:
     """doc_id, n_shingles and component_id, the smallest id that links reach, for each row."""
     rows = cut(sets_of(docs, k, id_col, text_col))
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"))
+    classes = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id")))  # cut, so that the join below may split a hot set
     kept = cut(survivors(docs, classes.select(F.col("first_id").alias("doc_id"), "set_a", "set_b"), k, percent, id_col, text_col))
     members = cut(rows.join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("node")))
     again = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
