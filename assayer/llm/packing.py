@@ -22,6 +22,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -138,8 +139,8 @@ def encoder(path: str) -> Encoder:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece of each document, in no order."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_col: str | None = None) -> DataFrame:
+    """A row for each piece of each document, in no order; with_col, an int column of docs, stands on each of its pieces."""
     path = path or tokenizer_path()
     end = end_id.to_bytes(4, "little")
 
@@ -147,16 +148,22 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows: list[int] = []
+            for n, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, value in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append(n)
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            more = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*arrays, *more], names=["doc_id", "piece", "start", "length", "ids_crc32", *extra])
         encode.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    extra = [with_col] if with_col else []
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("int").alias(c) for c in extra])
+    return chosen.mapInArrow(run, ", ".join([PIECES, *[f"{c} int" for c in extra]]))
 
 
 class OpenSequences:
@@ -193,8 +200,8 @@ class OpenSequences:
         return number, self.capacity - f
 
 
-def pack(sized: DataFrame, packers: int, capacity: int = CAPACITY, limit: int = OPEN, length_col: str = "length") -> DataFrame:
-    """sized with sequence_id and offset; rows are dealt evenly over so many packers, the largest first in each."""
+def pack(sized: DataFrame, packers: int, capacity: int = CAPACITY, limit: int = OPEN, length_col: str = "length", packer_col: str | None = None) -> DataFrame:
+    """sized with sequence_id and offset; rows are dealt evenly over so many packers, or as packer_col says, the largest first in each."""
     names = sized.columns
     at = names.index(length_col)
 
@@ -205,7 +212,8 @@ def pack(sized: DataFrame, packers: int, capacity: int = CAPACITY, limit: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part + n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema.fields) + ", sequence_id long, offset long"
-    return sized.repartition(packers).sortWithinPartitions(F.desc(length_col), *[n for n in names if n != length_col]).mapInArrow(run, schema)
+    dealt = sized.repartitionById(packers, F.col(packer_col)) if packer_col else sized.repartition(packers)
+    return dealt.sortWithinPartitions(F.desc(length_col), *[n for n in names if n != length_col]).mapInArrow(run, schema)
 
 
 def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, limit: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,5 +221,22 @@ def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     return pack(pieces(docs, path, capacity, id_col=id_col, text_col=text_col), packers, capacity, limit)
 
 
+def best_fit_in_order(docs: DataFrame, docs_per_packer: int = DOCS_PER_PACKER) -> DataFrame:
+    """As best_fit, for a table of Parquet files whose order by name and row counts: every packer takes one stretch of it.
+
+    A packer's stretch keeps the order's mix, and sequence ids rise from stretch to stretch.
+    """
+    spark = docs.sparkSession
+    # The files' names and rows go to the driver, as Spark's own list of files does.
+    sizes = sorted((r["f"], r["n"]) for r in docs.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect())
+    before = [0, *accumulate(n for _, n in sizes)]
+    packers = max(1, math.ceil(before[-1] / docs_per_packer))
+    bases = spark.createDataFrame([(f, n) for (f, _), n in zip(sizes, before[:-1], strict=True)], "_file string, _base long")
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(bases), "_file")
+    packer = F.floor((F.col("_base") + F.col("_row")) * packers / max(1, before[-1]))
+    dealt = placed.select("doc_id", "text", packer.cast("int").alias("_packer"))
+    return pack(pieces(dealt, with_col="_packer"), packers, packer_col="_packer").drop("_packer")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir))

@@ -1,5 +1,5 @@
 """The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, personal data is replaced,
-sources are mixed to target weights, and what is left is packed into sequences.
+sources are put in the order of a mix to target weights, and all of it is packed into sequences along that order.
 
 Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of documents; the last one returns
 the packed pieces. A stage's result is written as Parquet and read again as the next one's docs.
@@ -37,13 +37,17 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of a mix in which no source has more than mixing.MAX_SHARE of the characters; all of the other sources stay."""
-    return mixing.mixed(docs).where("admitted").select(*docs.columns)
+    """Every document, in the order of the slots of a mix in which no source has more than mixing.MAX_SHARE of the characters.
+
+    A source with a larger share goes on after the others have run dry; documents without a slot come last.
+    """
+    order = (F.col("slot").asc_nulls_last(), F.col("doc_id"), F.xxhash64("text"))
+    return mixing.mixed(docs).orderBy(*order).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document in sequences of at most packing.CAPACITY tokens."""
-    return packing.best_fit(docs)
+    """The pieces of every document in sequences of at most packing.CAPACITY tokens; sequence ids follow the order of docs' files."""
+    return packing.best_fit_in_order(docs)
 
 
 STAGES = [

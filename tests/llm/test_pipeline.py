@@ -33,3 +33,19 @@ def test_empty_documents(spark, nothing, tmp_path):
     nothing.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_keeps_every_document_and_its_order_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing.mix, "__defaults__", (None, None, 40, 64, *mixing.mix.__defaults__[4:]))
+    sources = ["hot"] * 97 + ["a", "b", "c", "empty"]
+    rows = [(i, None if s == "empty" else f"text {i} of the source", "en", s, 20) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    cp.mixing_stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    after = spark.read.parquet(f"{tmp_path}/mixed")
+    assert sorted(after.collect()) == sorted(docs.collect(), key=lambda r: r.doc_id)
+    slot = {r.doc_id: r.slot for r in mixing.mixed(docs).collect()}
+    pieces = packing.best_fit_in_order(after, 10).collect()
+    assert sorted(r.doc_id for r in pieces) == list(range(len(rows)))
+    order = [slot[r.doc_id] if slot[r.doc_id] is not None else 1 << 62 for r in sorted(pieces, key=lambda r: r.sequence_id >> 40)]
+    stretch = [[s for s, r in zip(order, sorted(pieces, key=lambda r: r.sequence_id >> 40), strict=True) if r.sequence_id >> 40 == k] for k in range(11)]
+    assert all(8 <= len(s) <= 11 for s in stretch) and all(max(a) <= min(b) for a, b in zip(stretch[:-1], stretch[1:], strict=True))
