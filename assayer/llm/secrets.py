@@ -2,8 +2,9 @@
 
 Three patterns give the base spans. Besides them every long run of key characters is a candidate: a window slides over it,
 counts of its characters are updated as one enters and one leaves, and with them the window's Shannon entropy. A window over
-the level of its character class makes the candidate a secret unless the allow-list knows its form. Spans inside a base
-span aren't reported again.
+the level of its character class makes the candidate a secret unless the allow-list knows its form. Where the candidate as a
+whole isn't one, each of its runs between = _ / and - is judged in the same way by its own class, so a key counts behind its
+name. What a base span covers isn't reported again; the rest of the candidate is.
 
 Positions count code points, ends are exclusive. Defined results: a null or empty text has no spans; repeated rows have the
 same spans; a null id keeps its row; a table without rows gives none; other columns don't matter.
@@ -30,13 +31,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+]+")
 WINDOW = 20
 #: Character classes: name, form of the candidate, least entropy of a window in bits for each character.
 CLASSES = (("hex", re.compile(r"[0-9a-fA-F]+"), 3.0), ("base32", re.compile(r"[A-Z2-7]+=*"), 3.5), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8))
-#: Forms that aren't secrets: one letter case without digits, digits alone, UUIDs, documented sample keys, repeated units, rules.
+#: A word: one letter case, a capital first, or such words joined as in camelCase, each of three letters at least.
+WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+|[a-z]*(?:[A-Z][a-z]{2,})+)"
+#: Forms that aren't secrets: words without digits, digits alone, UUIDs, documented sample keys, repeated units, rules.
 ALLOWED = (
-    re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"),
-    re.compile(r"[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]*"),
+    re.compile(rf"{WORD}([-_/=+]{WORD})*[-_/=+]*"),
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r".*EXAMPLE.*"),
     re.compile(r"(.{1,8}?)\1+.{0,8}"),
@@ -79,24 +82,48 @@ def peak_entropy(text: str, window: int = WINDOW) -> float:
     return best
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what may be one key in a candidate: the candidate, and each run between = _ / and -."""
+    out = [(0, len(text))]
+    parts = [m.span() for m in PART.finditer(text)]
+    return out + [x for x in parts if x[1] - x[0] >= WINDOW and x != out[0]]
+
+
+def secret(text: str) -> bool:
+    """Whether the entropy passes the level of the text's class and no allowed form covers it."""
+    if any(a.fullmatch(text) for a in ALLOWED):
+        return False
+    level = next(level for _, form, level in CLASSES if form.fullmatch(text) or form is CLASSES[-1][1])
+    return peak_entropy(text) >= level
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates whose entropy passes the level of their class and that no allowed form covers."""
+    """(start, kind, end) of candidates that are secrets as a whole, else of their runs that are."""
     if b"\1" * 20 not in text.encode("utf-8", "surrogatepass").translate(_OF_KEY):
         return []
     out = []
     for m in CANDIDATE.finditer(text):
-        if any(a.fullmatch(m[0]) for a in ALLOWED):
-            continue
-        level = next(level for _, form, level in CLASSES if form.fullmatch(m[0]) or form is CLASSES[-1][1])
-        if any(c.isdigit() for c in m[0]) and peak_entropy(m[0]) >= level:
-            out.append((m.start(), 3, m.end()))
+        found = [(a, b) for a, b in runs(m[0]) if secret(m[0][a:b])]
+        whole = [x for x in found if x == (0, len(m[0]))]
+        out += [(m.start() + a, 3, m.start() + b) for a, b in whole or found]
     return out
 
 
+def outside(text: str, span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of a span of text that no base span covers; a part of an allowed form, such as a name before a key, isn't one."""
+    start, kind, end = span
+    out = []
+    for a, _, b in [*sorted(x for x in base if x[0] < end and start < x[2]), (end, kind, end)]:
+        if start < a:
+            out.append((start, kind, a))
+        start = max(start, b)
+    return [x for x in out if x == span or not any(a.fullmatch(text[x[0] : x[2]]) for a in ALLOWED)]
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    more = [x for x in entropy_spans(text) if not any(a < x[2] and x[0] < b for a, _, b in base)]
+    more = [part for x in entropy_spans(text) for part in outside(text, x, base)]
     return base, sorted(base + more)
 
 

@@ -43,3 +43,25 @@ def test_candidates_and_allow_list():
         assert sc.entropy_spans(clean) == []
     both = sc.scan(f"token={key}")
     assert both[0] == both[1]
+
+
+def test_keys_behind_names_and_without_digits():
+    rng = random.Random(3)
+    lost = {"alone": 0, "named": 0, "letters": 0}
+    for _ in range(500):
+        key = "".join(rng.choices("0123456789ABCDEF", k=32))
+        lost["alone"] += not sc.entropy_spans(key)
+        spans = sc.entropy_spans(f"x KEY={key};")
+        lost["named"] += not any(a <= 6 and b == 38 for a, _, b in spans)
+        letters = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40))
+        lost["letters"] += not sc.entropy_spans(letters)
+    assert lost["named"] <= lost["alone"] <= 5 and lost["letters"] <= 5
+    assert sc.entropy_spans("getElementsFromTheWholePage") == [] and sc.entropy_spans("Some-Long_NAME/ofThingsWithoutKeys") == []
+
+
+def test_part_outside_base_spans():
+    text = "Zk3v9QpLx7Rt2WmYb8Nc4HdSdeadbeefdeadbeef"
+    base, spans = sc.scan(text)
+    assert base == [(24, 2, 40)] and spans == [(0, 3, 24), (24, 2, 40)]
+    name = "KEY=0123456789abcdef0123456789abcdef"
+    assert sc.scan(name)[0] == sc.scan(name)[1] == [(4, 2, 36)]
