@@ -1,14 +1,16 @@
 """Statistics on model-by-factor tables: least squares, leave-one-family-out, bootstrap, specificity and intervals.
 
-Solves with several predictors, folds and resampling run per factor in grouped pandas functions; a group holds one row for
-each judge. Everything else is built-in aggregation.
+Solves with several predictors, folds and the cluster bootstrap run per factor in grouped pandas functions; a group holds one
+row for each judge. The paired bootstrap, whose items are many, draws each replicate from counts of equal differences.
+Everything else is built-in aggregation.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -145,16 +147,35 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, st
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], left: str, right: str, n_boot: int = 10_000, seed: int = 20270915) -> DataFrame:
-    """Mean difference over shared items, in percentage points, with a percentile interval from resampled items."""
+    """Mean difference over shared items, in percentage points, with a percentile interval from resampled items.
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf[left].to_numpy(float) - pdf[right].to_numpy(float)) * 100
-        source = np.random.default_rng(seed)
-        means = np.sort([d[source.integers(0, len(d), len(d))].mean() for _ in range(n_boot)])
-        return pd.DataFrame([{b: pdf[b].iloc[0] for b in by} | {"n_items": len(d), "difference_pp": d.mean(), "low": means[int(0.025 * n_boot)], "high": means[int(0.975 * n_boot)]}])
-
-    schema = ", ".join(f"{b} {pairs.schema[b].dataType.simpleString()}" for b in by) + ", n_items long, difference_pp double, low double, high double"
-    return pairs.groupBy(*by).applyInPandas(draw, schema)
+    Equal differences are counted first. A resample of n items is a multinomial draw over those counts; the replicates are
+    rows, each with the generator of its number. Right and wrong answers have three differences, however many items there are.
+    """
+    d = ((F.col(left).cast("double") - F.col(right).cast("double")) * 100).alias("_d")
+    each = pairs.select(*by, d).groupBy(*by, "_d").agg(F.count("*").alias("_n"))
+    values = F.sort_array(F.collect_list(F.struct(F.coalesce("_d", F.lit(math.nan)).alias("d"), F.col("_n").alias("n"))))
+    counts = each.groupBy(*by).agg(values.alias("_v")).select(*by, F.col("_v.d").alias("_d"), F.col("_v.n").alias("_n"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            means = []
+            for d, n, i in zip(pdf["_d"], pdf["_n"], pdf["id"], strict=True):
+                d, n = np.asarray(d, float), np.asarray(n, np.int64)
+                drawn = np.random.default_rng([seed, i]).multinomial(n.sum(), n / n.sum())
+                means.append((d * drawn)[drawn > 0].sum() / n.sum())
+            yield pdf.drop(columns=["_n", "id"]).assign(_d=means)
+
+    spark = pairs.sparkSession
+    replicates = spark.range(n_boot).repartition(spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(counts))
+    schema = ", ".join([*[f"{b} {pairs.schema[b].dataType.simpleString()}" for b in by], "_d double"])
+    means = replicates.select(*by, "_d", "_n", "id").mapInPandas(draw, schema).groupBy(*by).agg(F.sort_array(F.collect_list("_d")).alias("_m"))
+    total = F.aggregate("_n", F.lit(0).cast("long"), lambda x, y: x + y)
+    whole = F.aggregate(F.zip_with("_d", "_n", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    observed = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by], total.alias("n_items"), (whole / total).alias("difference_pp"))
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+    at = lambda q: F.element_at("_m", int(q * n_boot) + 1)
+    return means.join(observed, same).select(*by, "n_items", "difference_pp", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def wald_ci(p: Column, n: Column) -> dict[str, Column]:

@@ -11,6 +11,7 @@ from ..operators import statistics as S
 from ..operators import triplets as T
 from ..schemas import STATES
 from .catalog import query, rounded
+from .pools import chosen
 from .proxies import CANDS, J, all_judgments, families, gold, judgments, seq, static_rows, t_sql
 
 
@@ -326,9 +327,11 @@ def cluster_bootstrap(spark, d):
 
 @query()
 def paired_bootstrap(spark, d):
-    near = done(spark, d).where("c_b = 1").groupBy("model_id", F.floor(F.col("triplet_id").cast("long") / 400).alias("slot"), "factor").agg(F.max("c_r").alias("v"))
-    one = lambda m: near.where(F.col("model_id") == m).select("slot", "factor", F.col("v").alias(m))
-    return rounded(S.paired_bootstrap(one("m0").join(one("m1"), ["slot", "factor"]), ["factor"], "m0", "m1", 1000))
+    """Every pool that both judges chose from is a shared item: a contrast for each factor and pool size."""
+    rows = chosen(spark, d)
+    one = lambda m: rows.where(F.col("model_id") == m).select("pool_id", "factor", "n", F.col("success").cast("int").alias(m))
+    return rounded(S.paired_bootstrap(one("m0").join(one("m1"), ["pool_id", "factor", "n"]), ["factor", "n"], "m0", "m1"))
+
 
 
 @query("SELECT CAST(l_linenumber AS VARCHAR) AS stage, count(*) AS items, 8 AS candidates, CAST(4.0 * l_linenumber AS DOUBLE) AS rate, round(count(*) * 8 / (4.0 * l_linenumber) / 3600.0, 6) AS gpu_hours, round(count(*) * 8 / (4.0 * l_linenumber) / 3600.0 * 5.59, 6) AS price, round(count(*) * 8 / (4.0 * l_linenumber) / 3600.0 / 1, 6) AS wall_hours_1, round(count(*) * 8 / (4.0 * l_linenumber) / 3600.0 / 2, 6) AS wall_hours_2, round(count(*) * 8 / (4.0 * l_linenumber) / 3600.0 / 4, 6) AS wall_hours_4 FROM lineitem GROUP BY l_linenumber")

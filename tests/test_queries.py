@@ -38,3 +38,10 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_paired_bootstrap_has_every_shared_pool(spark, duck):
+    got = {(r.factor, r.n): r.n_items for r in entry.queries()["paired_bootstrap"](spark, DATA).collect()}
+    pools = duck.execute("SELECT count(DISTINCT p_partkey // 8) FROM part").fetchone()[0]
+    chosen = duck.execute(entry.oracle_sql()["selections"].replace("ties FROM sel", "ties FROM sel WHERE model_id = 'm0'")).df()
+    assert got == chosen[chosen.model_id == "m0"].groupby(["factor", "n"]).size().to_dict() and pools - 1 <= sum(got.values()) / 3 <= pools

@@ -80,3 +80,17 @@ def test_specificity(spark):
     flat = df.withColumn("score", df.score * 0 + 1)
     assert S.specificity(flat, factors).first().z_difference == 0
     assert S.specificity(df.union(spark.createDataFrame([("count", "count", None)], df.schema)), factors).first().diagonal is None
+
+
+def test_paired_bootstrap_draws_from_counts(spark):
+    rng = random.Random(9)
+    items = [(f, rng.randint(0, 1), int(rng.random() < 0.7)) for f in "ab" for _ in range(400)]
+    out = S.paired_bootstrap(spark.createDataFrame(items, "factor string, x int, y int"), ["factor"], "x", "y", 2000)
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString().replace("MapInPandas", "")
+    got = {r.factor: r for r in out.collect()}
+    for f in "ab":
+        d = np.array([(x - y) * 100 for g, x, y in items if g == f])
+        source = np.random.default_rng(1)
+        means = np.sort([d[source.integers(0, 400, 400)].mean() for _ in range(2000)])
+        assert got[f].n_items == 400 and np.isclose(got[f].difference_pp, d.mean())
+        assert abs(got[f].low - means[50]) < 1.2 and abs(got[f].high - means[1950]) < 1.2
