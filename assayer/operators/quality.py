@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.expressions import compact, projected_radius, relation_holds, sha, status_of
 from ..schemas import VARIANTS
@@ -222,31 +223,28 @@ def greedy_repair(downstream: DataFrame, static: DataFrame, audit: DataFrame, po
     """Rows whose image the static set has, each with its replacement: of its factor and carrier, the smallest salted digest
     whose image nobody uses, over all groups in order of item_id. No candidate left raises.
 
-    Joins leave only conflicts and eligible candidates; the choice itself is sequential, so those few go through one task:
-    conflicts, and as many candidates of a group as could be passed over.
+    The choice runs in rounds of joins. The k-th conflict of a factor and carrier starts at their k-th candidate, as those before
+    it take k - 1 of them. An image that several groups want goes to the smallest item_id; losers, and those behind them in their
+    group, move on by one. When nobody loses, this is what a choice one by one gives. Ranks are windows over factor and carrier.
     """
-    conflicts = downstream.join(static.select("image"), "image", "left_semi")
+    group = ("factor", "carrier")
+    conflicts = downstream.join(static.select("image").distinct(), "image", "left_semi")
     kept = downstream.join(static.select("image"), "image", "left_anti")
     free = eligible_replacements(pool, "image", static, audit, kept).withColumn("_key", sha(F.lit(salt), "item_id", "image"))
-    free = free.withColumn("_n", F.row_number().over(Window.partitionBy("factor", "carrier", "image").orderBy("_key"))).where("_n = 1")
-    rank = F.row_number().over(Window.partitionBy("factor", "carrier").orderBy("_key"))
-    most = conflicts.agg(F.count("*").alias("_most"))
-    free = free.withColumn("_rank", rank).join(F.broadcast(most), F.col("_rank") <= F.col("_most"))
-    rows = conflicts.select(F.lit(0).alias("side"), "item_id", "factor", "carrier", "image", F.lit("").alias("key")).union(free.select(F.lit(1), "item_id", "factor", "carrier", "image", "_key"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        queues = {k: iter(g.sort_values("key").itertuples()) for k, g in pdf[pdf["side"] == 1].groupby(["factor", "carrier"])}
-        out = []
-        for row in pdf[pdf["side"] == 0].sort_values("item_id").itertuples():
-            found = next((c for c in queues.get((row.factor, row.carrier), iter(())) if c.image not in used), None)
-            if found is None:
-                raise ValueError(f"no replacement left for {row.factor}/{row.carrier}")
-            used.add(found.image)
-            out.append((row.item_id, found.item_id, row.factor, row.carrier, found.image))
-        return pd.DataFrame(out, columns=["item_id", "replacement_id", "factor", "carrier", "image"])
-
-    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "item_id string, replacement_id string, factor string, carrier string, image string")
+    free = free.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "image").orderBy("_key"))).where("_n = 1")
+    free = free.select(*group, F.col("item_id").alias("replacement_id"), F.col("image").alias("_image"), F.row_number().over(Window.partitionBy(*group).orderBy("_key")).alias("_rank")).persist(StorageLevel.DISK_ONLY)
+    order = ("item_id", "image", *group)
+    state = conflicts.select(*order, F.row_number().over(Window.partitionBy(*group).orderBy("item_id", "image")).alias("_k")).withColumn("_rank", F.col("_k"))
+    while True:
+        placed = state.join(free, [*group, "_rank"], "left")
+        before = F.row_number().over(Window.partitionBy("_image").orderBy(*order, "_k"))
+        placed = placed.withColumn("_lost", (F.col("_image").isNotNull() & (before > 1)).cast("int")).persist(StorageLevel.DISK_ONLY)
+        for row in placed.where("_image is null").select(*group).limit(1).collect():
+            raise ValueError(f"no replacement left for {row['factor']}/{row['carrier']}")
+        if placed.where("_lost = 1").isEmpty():
+            return placed.select("item_id", "replacement_id", *group, F.col("_image").alias("image")).orderBy("item_id")
+        ahead = Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        state = placed.select(*order, "_k", (F.col("_k") + F.max(F.col("_rank") + F.col("_lost") - F.col("_k")).over(ahead)).alias("_rank"))
 
 
 def generated_specs(spark: SparkSession, factor: str, n: int, seed: int = 20260912) -> DataFrame:

@@ -146,15 +146,16 @@ def replacement_candidates(spark, d):
     return Q.eligible_replacements(pool, "image", taken).join(used, "c_custkey", "left_anti").groupBy("c_nationkey").agg(F.count("*").alias("candidates"))
 
 
-@query()
+@query("""WITH cu AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, c_mktsegment AS factor, CASE WHEN c_nationkey < 10 THEN 'a' ELSE 'b' END AS carrier, c_custkey AS k FROM customer),
+c AS (SELECT *, row_number() OVER (PARTITION BY factor, carrier ORDER BY item_id) AS n FROM cu WHERE k IN (SELECT s_suppkey FROM supplier)),
+p AS (SELECT *, row_number() OVER (PARTITION BY factor, carrier ORDER BY sha256('repair|' || item_id || '|p' || item_id)) AS n FROM cu)
+SELECT c.item_id, p.item_id AS replacement_id, factor, carrier, 'p' || p.item_id AS image FROM c JOIN p USING (factor, carrier, n)""")
 def greedy_repair(spark, d):
-    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("item_id"), F.col("c_mktsegment").alias("factor"), F.when(F.col("c_nationkey") < 10, "a").otherwise("b").alias("carrier"), F.col("c_custkey").alias("_k"))
-    image = lambda every: F.concat(F.lit("i"), (F.col("_k") % every).cast("string"))
-    downstream = rows.where("_k % 20 = 1").withColumn("image", image(400)).drop("_k")
-    static = rows.where("_k % 60 = 1").withColumn("image", image(400)).drop("_k")
-    pool = rows.withColumn("image", F.concat(F.lit("p"), F.col("_k").cast("string"))).drop("_k")
-    audit = static.limit(0)
-    return Q.greedy_repair(downstream, static, audit, pool)
+    """All customers against the images of all suppliers."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("item_id"), F.col("c_mktsegment").alias("factor"), F.when(F.col("c_nationkey") < 10, "a").otherwise("b").alias("carrier"))
+    downstream, pool = (rows.withColumn("image", F.concat(F.lit(x), "item_id")) for x in "ip")
+    static = table(spark, d, "supplier").select(F.concat(F.lit("i"), F.col("s_suppkey").cast("string")).alias("image"))
+    return Q.greedy_repair(downstream, static, static.limit(0), pool)
 
 
 # ---------------------------------------------------------------- merging

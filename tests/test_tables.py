@@ -178,3 +178,23 @@ def test_pictures(spark):
     a, b = [0.0] * 12, [0.0] * 9 + [10.0, 0.0, 0.0]
     r = quality.image_differences(spark.createDataFrame([("x", a, b)], "id string, a array<double>, b array<double>")).first()
     assert np.isclose(r.mean_abs, 10 / 12) and r.changed == 0.25
+
+
+def test_greedy_repair_in_rounds_is_the_serial_choice(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(2)
+    schema = "item_id string, factor string, carrier string, image string"
+    down = [(f"d{i:02}", rng.choice("fg"), "c", f"i{i}") for i in range(12)]
+    pool = [(f"p{i}", rng.choice("fg"), "c", f"j{rng.randint(0, 30)}") for i in range(90)]
+    used, want = set(), []
+    for item, factor, carrier, _ in down:
+        free = [(hashlib.sha256(f"repair|{p}|{x}".encode()).hexdigest(), p, x) for p, f, _, x in pool if f == factor and x not in used]
+        _, p, x = min(free)
+        used.add(x)
+        want.append((item, p, factor, carrier, x))
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    out = quality.greedy_repair(frame(down), frame(down), frame(down).limit(0), frame(pool))
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.collect()] == want
