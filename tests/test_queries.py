@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 def plain(frame, columns):
     def cell(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "null"
         return str(v) if isinstance(v, (bool, str)) else f"{float(v):.6f}" if hasattr(v, "__float__") and type(v).__name__ != "bool_" else str(v)
 
