@@ -7,19 +7,36 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text in a group that one Python task holds whole.
+GROUP_BYTES = 8 << 20
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """stem, with as many underscores before it as keep every column of df from starting with it; for work columns."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = "_" + stem
+    return stem
+
+
 def with_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; only a session without one gets its own."""
+    """Use the shared folder that the cluster names in spark.checkpoint.dir; a local session without one gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayer-checkpoints-"))
 
 
@@ -38,9 +55,32 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_groups(spark: SparkSession) -> int:
-    """Groups that documents are dealt into: one for each shuffle partition, a setting that follows the input's size."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files behind results of `cut` or `stored` that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if files:
+            _deleted(spark, files[0].rsplit("/", 1)[0])
+            continue
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+            _deleted(spark, plan.rdd().getCheckpointFile().get())
+
+
+def n_groups(spark: SparkSession, size: int = 0) -> int:
+    """Groups for so many bytes of text: one for each shuffle partition at least, of GROUP_BYTES at most where texts are shorter."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // GROUP_BYTES))
+
+
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
 
 
 def bytes_list(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

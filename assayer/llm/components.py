@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: every node links the larger of its neighbours to its smallest neighbour, then the smaller
     ones, until each node hangs on its component's smallest. A logarithmic number of rounds, each of joins on nodes; the
-    edges never grow in number. Each round's edges are cut from their lineage, and only a count reaches the driver.
+    edges never grow in number. Each round's edges are cut from their lineage, which deletes those of the round before, and only
+    whether something changed reaches the driver.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
@@ -24,8 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).where("a <> b")
         after = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
+        done = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        forget(now)
         now = after
+        if done:
+            break
     members = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     return members.union(members.select(F.col("component").alias("node"), "component").distinct())

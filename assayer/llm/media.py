@@ -11,8 +11,9 @@ Band energies are stored as Arrow fixed-shape tensors [FRAMES, BANDS], each with
 each recording. Long recordings pass through the transforms block by block.
 
 Defined results: a null or empty text is one padded block of 576 bytes. Equal bytes give equal features, so repeated rows
-agree. A null id is kept, a table without rows gives none, other columns pass through `audio_features` untouched. A null
-or broken container gives null features.
+agree. A null id is kept, a table without rows gives none, other columns pass through `audio_features` untouched, but for
+those with the very names of its results, which give way. A null or broken container gives null features, and so does one
+that isn't mono 8-bit PCM or holds no sample.
 """
 
 from __future__ import annotations
@@ -142,42 +143,56 @@ def tensors(bands: np.ndarray, rate: float) -> bytes:
     return sink.getvalue()
 
 
-def features(media: bytes) -> tuple[bytes, bytes, list[dict]]:
-    """Samples as stored, tensors, and segments with their time spans."""
+def samples(media: bytes) -> tuple[bytes, int]:
+    """Sample bytes of a container as stored, and their rate; ValueError if it isn't mono 8-bit PCM with a sample at least."""
     with wave.open(io.BytesIO(media)) as f:
-        data, rate = f.readframes(f.getnframes()), f.getframerate() * UP / DOWN
+        if (f.getnchannels(), f.getsampwidth()) != (1, 1):
+            raise ValueError("mono 8-bit samples only")
+        data, rate = f.readframes(f.getnframes()), f.getframerate()
+    if not data:
+        raise ValueError("no samples")
+    return data, rate
+
+
+def features(data: bytes, rate: int) -> tuple[bytes, list[dict]]:
+    """Tensors, and segments with their time spans, of 8-bit samples."""
     y = resample((np.frombuffer(data, np.uint8).astype(np.float32) - 128.0) / 128.0)
-    bands, energy = log_mel(y, rate)
-    spans = [{"start_s": a * HOP / rate, "end_s": ((b - 1) * HOP + FRAME) / rate} for a, b in hysteresis(energy)]
-    return data, tensors(bands, rate), spans
+    out_rate = rate * UP / DOWN
+    bands, energy = log_mel(y, out_rate)
+    spans = [{"start_s": a * HOP / out_rate, "end_s": ((b - 1) * HOP + FRAME) / out_rate} for a, b in hysteresis(energy)]
+    return tensors(bands, out_rate), spans
 
 
+RESULTS = ("payload_bytes", "payload_sha256", "tail_crc32", "tensors", "segments")
 SPANS = "array<struct<start_s: double, end_s: double>>"
 
 
 def audio_features(docs: DataFrame, media_col: str = "media") -> DataFrame:
-    """docs with payload_sha256, tail_crc32, tensors and segments of the stored audio."""
+    """docs, without the media, with payload_bytes, payload_sha256 and tail_crc32 of the samples read back, tensors and segments."""
     at = docs.columns.index(media_col)
-    kept = [i for i, c in enumerate(docs.columns) if c != media_col]
-    names = [*[docs.columns[i] for i in kept], "payload_sha256", "tail_crc32", "tensors", "segments"]
-    spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kept = [i for i, c in enumerate(docs.columns) if c != media_col and c.lower() not in RESULTS]
+    names = [*[docs.columns[i] for i in kept], *RESULTS]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[] for _ in RESULTS]
                 for value in batch.column(at):
-                    try:
-                        data, stored, found = features(value.as_py())
-                        row = (hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), stored, found)
-                    except (TypeError, wave.Error, EOFError):
-                        row = (None, None, None, None)
+                    row: tuple = (None,) * len(RESULTS)
+                    if value.is_valid:
+                        try:
+                            data, rate = samples(value.as_py())
+                        except (wave.Error, EOFError, ValueError):
+                            pass
+                        else:
+                            row = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), *features(data, rate))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *[pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.binary(), spans), strict=True)]], names=names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=names)
 
-    more = T._parse_datatype_string(f"payload_sha256 string, tail_crc32 long, tensors binary, segments {SPANS}")
+    more = T.StructType.fromDDL(f"payload_bytes long, payload_sha256 string, tail_crc32 long, tensors binary, segments {SPANS}")
     return docs.mapInArrow(run, T.StructType([docs.schema.fields[i] for i in kept] + more.fields))
 
 
@@ -187,4 +202,4 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = docs.select("*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
     spans = F.transform("segments", lambda s: F.format_string("%.4f-%.4f", s["start_s"], s["end_s"]))
     feature = F.concat_ws(":", F.sha2("tensors", 256), F.size("segments").cast("string"), F.sha2(F.array_join(spans, ","), 256))
-    return audio_features(stored).select("doc_id", "n_bytes", (F.col("media_bytes") - 44).alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("segments").alias("n_segments"))
+    return audio_features(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("segments").alias("n_segments"))

@@ -5,14 +5,20 @@ j-th block no earlier than its release floor((j - 1) / w) and must have it by it
 Earliest deadline first over the released blocks meets every deadline, and after every slot each source is within one block
 of its share.
 
-Weights are rounded to multiples of 1 / CYCLE, so the schedule repeats after CYCLE slots. One cycle is computed from the
+Weights are rounded to multiples of 1 / cycle, so the schedule repeats after so many slots. One cycle is computed from the
 weights alone, whatever the size of the data; block number b of a source goes to cycle b div n, position b mod n, where n
-is the source's slots in a cycle. Blocks need each document's volume before it in its source, which comes from two levels of
-sums: buckets of a source, then documents of a bucket. Neither level holds a whole source in one task.
+is the source's slots in a cycle. The cycle has CYCLE slots, and more where there are many sources: the next power of two from
+four slots for each on. Blocks need each document's volume before it in its source, which comes from two levels of sums:
+buckets of a source, then documents of a bucket. Neither level holds a whole source in one task.
+
+A document goes whole into the slot of the block in which it begins. Hence after every slot the characters of a source are
+within one block and one longest text of its share.
 
 Defined results: a null source is a source of its own; a null or empty text has volume 0 and takes the block at its place;
-a null id takes part. Repeated rows each get a place. A source without weight gets no slot and isn't admitted. A table
-without rows gives none. Extra columns pass through; names that start with _mix are reserved.
+a null id takes part. Repeated rows each get a place. A source without weight or, for `mixed`, without any characters gets no
+slot and isn't admitted; it doesn't count as a source for the cycle either. More than MAX_SOURCES sources with a weight raise
+ValueError with their number. A table without rows gives none. All columns of docs pass through under any name; the schedule
+is one more column, a struct, and only a column of docs with its very name (parameter into) gives way to it.
 """
 
 from __future__ import annotations
@@ -23,19 +29,32 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, every, fresh
 
 CYCLE = 1 << 14
+MAX_SOURCES = 1 << 18
 BLOCK_CHARS = 1 << 16
 MAX_SHARE = 0.3
 SEED = 11
 
 
-def slots_of(weights: dict[str | None, float], cycle: int = CYCLE) -> dict[str | None, int]:
+def _refuse(n: int) -> None:
+    raise ValueError(f"{n} sources have a weight, more than {MAX_SOURCES}; group them.")
+
+
+def cycle_for(n_sources: int) -> int:
+    """Slots of a cycle for so many sources with a weight."""
+    return max(CYCLE, 1 << (4 * n_sources - 1).bit_length()) if n_sources else CYCLE
+
+
+def slots_of(weights: dict[str | None, float], cycle: int | None = None) -> dict[str | None, int]:
     """Slots of one cycle for each source with a weight: at least one each, the rest by largest remainder."""
     names = sorted((n for n, w in weights.items() if w > 0), key=lambda n: (n is not None, n or ""))
+    if len(names) > MAX_SOURCES:
+        _refuse(len(names))
+    cycle = cycle or cycle_for(len(names))
     if len(names) > cycle:
-        raise ValueError(f"{len(names)} sources have a weight; a cycle has {cycle} slots. Group them, or lengthen the cycle.")
+        raise ValueError(f"{len(names)} sources have a weight; a cycle of {cycle} slots is too short.")
     if not names:
         return {}
     total = math.fsum(weights[n] for n in names)
@@ -66,16 +85,18 @@ def one_cycle(slots: dict[str | None, int]) -> dict[str | None, list[int]]:
 
 
 def volumes(docs: DataFrame, source_col: str = "source", text_col: str = "text") -> dict[str | None, int]:
-    """Characters of each source; the number of sources is bounded by the slots of a cycle, else slots_of refuses them."""
-    sums = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.sum(F.coalesce(F.char_length(text_col), F.lit(0))).cast("long").alias("v"))
-    return {r["s"]: r["v"] for r in sums.limit(CYCLE + 1).collect()}
+    """Characters of each source that has any; at most MAX_SOURCES, else it raises."""
+    sums = docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.sum(F.char_length(text_col)).cast("long").alias("v")).where("v > 0")
+    rows = sums.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        _refuse(sums.count())
+    return {r["s"]: r["v"] for r in rows}
 
 
 def capped_weights(sizes: dict[str | None, int], max_share: float = MAX_SHARE) -> tuple[dict[str | None, float], list[str | None]]:
     """Natural shares with none over max_share, and the sources below it. Where too few sources exist to keep it, all share alike."""
-    total = sum(sizes.values())
-    if not total:
-        return {n: 1.0 for n in sizes}, list(sizes)
+    if not sum(sizes.values()):
+        return {}, []
     if len([v for v in sizes.values() if v]) * max_share <= 1:
         return {n: float(v > 0) for n, v in sizes.items()}, []
     over: set = set()
@@ -88,14 +109,15 @@ def capped_weights(sizes: dict[str | None, int], max_share: float = MAX_SHARE) -
         over |= more
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float], until: list[str | None] | None = None, sizes: dict[str | None, int] | None = None, block_chars: int = BLOCK_CHARS, cycle: int = CYCLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with block, release, deadline, slot and admitted.
+def mix(docs: DataFrame, weights: dict[str | None, float], until: list[str | None] | None = None, sizes: dict[str | None, int] | None = None, block_chars: int = BLOCK_CHARS, cycle: int | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", into: str = "mix") -> DataFrame:
+    """docs with a struct of block, release, deadline, slot and admitted.
 
     The stream ends when all sources named in until have run dry (None: all that have a weight); admitted says whether a
-    document's slot comes before that end.
+    document's slot comes before that end. Texts are only measured and hashed; a caller that drops them later moves none.
     """
     spark = docs.sparkSession
     slots = slots_of(weights, cycle)
+    cycle = sum(slots.values()) or 1
     places = one_cycle(slots)
     sizes = sizes if sizes is not None else volumes(docs, source_col, text_col)
     ends = []
@@ -105,30 +127,35 @@ def mix(docs: DataFrame, weights: dict[str | None, float], until: list[str | Non
             ends.append(last // n * cycle + places[name][last % n] + 1)
     horizon = max(ends, default=1 << 62)
     buckets = max(16, math.isqrt(docs.count()))
+    w = fresh(docs, "_mix")
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     volume = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long")
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    dealt = docs.withColumns({"_mix_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")), "_mix_volume": volume, "_mix_order": order})
-    dealt = dealt.withColumn("_mix_bucket", F.pmod(F.shiftrightunsigned("_mix_order", 20), F.lit(buckets)))
-    sums = docs.select(F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_mix_source"), volume.alias("_mix_volume"), F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets)).alias("_mix_bucket"))
-    sums = sums.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_volume").alias("_mix_sum"))
-    earlier = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("_mix_source", "_mix_bucket", F.coalesce(F.sum("_mix_sum").over(earlier), F.lit(0)).alias("_mix_base"))
-    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_order", id_col, text_col).rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.join(bases, ["_mix_source", "_mix_bucket"]).withColumn("_mix_start", F.col("_mix_base") + F.coalesce(F.sum("_mix_volume").over(within), F.lit(0)))
-    table = spark.createDataFrame([("" if n is None else "=" + n, slots[n], places[n]) for n in slots], "_mix_source string, _mix_n int, _mix_places array<int>")
-    dealt = dealt.join(F.broadcast(table), "_mix_source", "left").withColumn("block", F.floor(F.col("_mix_start") / block_chars).cast("long"))
-    place = F.element_at("_mix_places", F.pmod("block", F.col("_mix_n")).cast("int") + 1)
-    dealt = dealt.withColumns({"release": F.floor(F.col("block") * cycle / F.col("_mix_n")).cast("long"), "deadline": F.ceil((F.col("block") + 1) * cycle / F.col("_mix_n")).cast("long"), "slot": (F.floor(F.col("block") / F.col("_mix_n")) * cycle + place).cast("long")})
-    return dealt.select(*docs.columns, "block", "release", "deadline", "slot", F.coalesce(F.col("slot") < horizon, F.lit(False)).alias("admitted"))
-
-
-def mixed(docs: DataFrame, max_share: float = MAX_SHARE) -> DataFrame:
+    keys = {f"{w}_source": source, f"{w}_volume": volume, f"{w}_order": order, f"{w}_bucket": F.pmod(F.shiftrightunsigned(order, 20), F.lit(buckets))}
+    dealt = docs.withColumns(keys)
+    sums = dealt.groupBy(f"{w}_source", f"{w}_bucket").agg(F.sum(f"{w}_volume").alias(f"{w}_sum"))
+    earlier = Window.partitionBy(f"{w}_source").orderBy(f"{w}_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(f"{w}_source", f"{w}_bucket", F.coalesce(F.sum(f"{w}_sum").over(earlier), F.lit(0)).alias(f"{w}_base"))
+    within = Window.partitionBy(f"{w}_source", f"{w}_bucket").orderBy(f"{w}_order", id_col, f"{w}_volume").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.join(bases, [f"{w}_source", f"{w}_bucket"])
+    dealt = dealt.withColumn(f"{w}_block", F.floor((F.col(f"{w}_base") + F.coalesce(F.sum(f"{w}_volume").over(within), F.lit(0))) / block_chars).cast("long"))
+    # A row for each source with a weight and a number for each slot of the cycle: 16 MiB at most for MAX_SOURCES.
+    table = spark.createDataFrame([("" if n is None else "=" + n, slots[n], places[n]) for n in slots], f"{w}_source string, {w}_n int, {w}_places array<int>")
+    dealt = dealt.join(F.broadcast(table), f"{w}_source", "left")
+    block, n = F.col(f"{w}_block"), F.col(f"{w}_n")
+    place = F.element_at(f"{w}_places", F.pmod(block, n).cast("int") + 1)
+    slot = (F.floor(block / n) * cycle + place).cast("long")
+    schedule = F.struct(block.alias("block"), F.floor(block * cycle / n).cast("long").alias("release"), F.ceil((block + 1) * cycle / n).cast("long").alias("deadline"), slot.alias("slot"), F.coalesce(slot < horizon, F.lit(False)).alias("admitted"))
+    return dealt.select(*[c for c, name in zip(every(docs), docs.columns, strict=True) if name.lower() != into.lower()], schedule.alias(into))
+
+
+def mixed(docs: DataFrame, max_share: float = MAX_SHARE, into: str = "mix") -> DataFrame:
     """The natural mix, but no source over max_share; the stream ends when every source below that has run dry."""
     sizes = volumes(docs)
     weights, below = capped_weights(sizes, max_share)
-    return mix(docs, weights, below or None, sizes)
+    return mix(docs, weights, below or None, sizes, into=into)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixed(docs).drop("text")
+    return mixed(docs).select("doc_id", "source", "mix.*")

@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences: bounded-space online best-fit over a bitset keyed by free space.
 
 Tokenising is a map over the documents. Each document becomes its ids and one closing id; one longer than a sequence is cut
-into full pieces and a rest. Only the pieces' sizes are then dealt out, a fixed number of documents for each packer, and
-every packer holds a fixed number of open sequences. Bit f of one integer says whether some open sequence has f tokens free,
-so the best fit for n tokens is the lowest set bit at or above n. When no open sequence fits and the number of open ones is
-at its bound, the fullest closes.
+into full pieces and a rest. Only the pieces' sizes are then dealt out, about PIECES_PER_PACKER pieces by the texts' bytes for
+each packer, and every packer holds a fixed number of open sequences. Pieces arrive in a fixed order that does not depend on
+their lengths (a hash, or the order of the table) and each is placed when it arrives, for good. Bit f of one integer says
+whether some open sequence has f tokens free, so the best fit for n tokens is the lowest set bit at or above n. When no open
+sequence fits and the number of open ones is at its bound, the fullest closes.
 
 Ids are those of the tokenizer over the whole text: its splitting never joins what a space or a line feed parts, so each
 distinct chunk between them is encoded once and a document's ids are the chunks' ids in a row.
@@ -27,15 +28,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
 CAPACITY = 4096
 END_ID = 1
-OPEN = 8192
-DOCS_PER_PACKER = 32768
+OPEN = 128
+PIECES_PER_PACKER = 1 << 17
+BYTES_PER_PIECE = 3 * CAPACITY
 CACHE_CHUNKS = 300_000
 CACHE_MARKS = 10_000
 CACHED_LENGTH = 48
@@ -139,8 +141,8 @@ def encoder(path: str) -> Encoder:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_col: str | None = None) -> DataFrame:
-    """A row for each piece of each document, in no order; with_col, an int column of docs, stands on each of its pieces."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each piece of each document, in no order; with_cols, integer columns of docs, stand on each of its pieces."""
     path = path or tokenizer_path()
     end = end_id.to_bytes(4, "little")
 
@@ -158,12 +160,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     rows.append(n)
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             more = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*arrays, *more], names=["doc_id", "piece", "start", "length", "ids_crc32", *extra])
+            yield pa.RecordBatch.from_arrays([*arrays, *more], names=["doc_id", "piece", "start", "length", "ids_crc32", *with_cols])
         encode.forget()
 
-    extra = [with_col] if with_col else []
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).cast("int").alias(c) for c in extra])
-    return chosen.mapInArrow(run, ", ".join([PIECES, *[f"{c} int" for c in extra]]))
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in with_cols])
+    return chosen.mapInArrow(run, ", ".join([PIECES, *[f"{c} long" for c in with_cols]]))
 
 
 class OpenSequences:
@@ -200,8 +201,11 @@ class OpenSequences:
         return number, self.capacity - f
 
 
-def pack(sized: DataFrame, packers: int, capacity: int = CAPACITY, limit: int = OPEN, length_col: str = "length", packer_col: str | None = None) -> DataFrame:
-    """sized with sequence_id and offset; rows are dealt evenly over so many packers, or as packer_col says, the largest first in each."""
+def pack(sized: DataFrame, packers: int, capacity: int = CAPACITY, limit: int = OPEN, length_col: str = "length", packer_col: str | None = None, order: tuple[Column, ...] | None = None) -> DataFrame:
+    """sized with sequence_id and offset; rows are dealt evenly over so many packers, or as packer_col says.
+
+    They arrive in the given order; None: that of a hash of all columns, which says nothing of a piece's length.
+    """
     names = sized.columns
     at = names.index(length_col)
 
@@ -212,30 +216,37 @@ def pack(sized: DataFrame, packers: int, capacity: int = CAPACITY, limit: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part + n for n, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema.fields) + ", sequence_id long, offset long"
-    dealt = sized.repartitionById(packers, F.col(packer_col)) if packer_col else sized.repartition(packers)
-    return dealt.sortWithinPartitions(F.desc(length_col), *[n for n in names if n != length_col]).mapInArrow(run, schema)
+    dealt = sized.repartitionById(packers, F.col(packer_col).cast("int")) if packer_col else sized.repartition(packers)
+    return dealt.sortWithinPartitions(*(order or (F.xxhash64(*names),)), *names).mapInArrow(run, schema)
+
+
+def packers_for(docs: DataFrame, text_col: str = "text", pieces_per_packer: int = PIECES_PER_PACKER) -> int:
+    """Packers for all texts, by their number and bytes."""
+    about = F.lit(1) + F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) / BYTES_PER_PIECE
+    return max(1, math.ceil((docs.agg(F.sum(about)).first()[0] or 0) / pieces_per_packer))
 
 
 def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, limit: int = OPEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    packers = max(1, math.ceil(docs.count() / DOCS_PER_PACKER))
-    return pack(pieces(docs, path, capacity, id_col=id_col, text_col=text_col), packers, capacity, limit)
+    return pack(pieces(docs, path, capacity, id_col=id_col, text_col=text_col), packers_for(docs, text_col), capacity, limit)
 
 
-def best_fit_in_order(docs: DataFrame, docs_per_packer: int = DOCS_PER_PACKER) -> DataFrame:
-    """As best_fit, for a table of Parquet files whose order by name and row counts: every packer takes one stretch of it.
+def best_fit_in_order(docs: DataFrame, pieces_per_packer: int = PIECES_PER_PACKER) -> DataFrame:
+    """As best_fit, for a table of Parquet files whose order by name and rows counts: every packer takes one stretch of it.
 
-    A packer's stretch keeps the order's mix, and sequence ids rise from stretch to stretch.
+    Pieces arrive in the table's order, so sequence ids rise along it, but for pieces that fill up sequences opened before.
     """
     spark = docs.sparkSession
-    # The files' names and rows go to the driver, as Spark's own list of files does.
-    sizes = sorted((r["f"], r["n"]) for r in docs.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect())
-    before = [0, *accumulate(n for _, n in sizes)]
-    packers = max(1, math.ceil(before[-1] / docs_per_packer))
-    bases = spark.createDataFrame([(f, n) for (f, _), n in zip(sizes, before[:-1], strict=True)], "_file string, _base long")
+    # The files' names, rows and sizes go to the driver, as Spark's own list of files does.
+    about = F.sum(F.lit(1) + F.coalesce(F.octet_length("text"), F.lit(0)) / BYTES_PER_PIECE)
+    sizes = sorted((r["f"], r["n"], r["p"]) for r in docs.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), about.alias("p")).collect())
+    before = [0.0, *accumulate(p for _, _, p in sizes)]
+    packers = max(1, math.ceil(before[-1] / pieces_per_packer))
+    bases = spark.createDataFrame([(f, i, b / before[-1] * packers, p / n / before[-1] * packers) for i, ((f, n, p), b) in enumerate(zip(sizes, before[:-1], strict=True))], "_file string, _number int, _base double, _step double")
     placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(bases), "_file")
-    packer = F.floor((F.col("_base") + F.col("_row")) * packers / max(1, before[-1]))
-    dealt = placed.select("doc_id", "text", packer.cast("int").alias("_packer"))
-    return pack(pieces(dealt, with_col="_packer"), packers, packer_col="_packer").drop("_packer")
+    packer = F.least(F.floor(F.col("_base") + F.col("_row") * F.col("_step")), F.lit(packers - 1)).cast("int")
+    dealt = placed.select("doc_id", "text", packer.alias("_packer"), F.col("_number"), F.col("_row"))
+    order = (F.col("_number"), F.col("_row"), F.col("piece"))
+    return pack(pieces(dealt, with_cols=("_packer", "_number", "_row")), packers, packer_col="_packer", order=order).drop("_packer", "_number", "_row")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

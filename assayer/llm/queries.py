@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fingerprints import op1_fingerprints
+from .fingerprints import OP1_SQL, op1_fingerprints
 from .media import op3_audio_features
 from .mixing import op2_source_mixing
 from .ngram_join import op9_ngram_join
@@ -14,4 +14,4 @@ from .token_counts import op8_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_source_mixing, op3_audio_features, op4_personal_data, op5_suffix_dedup, op6_best_fit_packing, op7_toxicity, op8_token_counts, op9_ngram_join, op10_secret_scan)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_fingerprints": OP1_SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import cut, documents, every, forget, fresh
 
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 400_000
@@ -35,9 +35,11 @@ CACHED_LENGTH = 40
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows that training reads at most (the smallest by a hash of their id); the other fields shape the model."""
+    """sample and sample_chars: labelled rows, and characters of them, that training reads at most, in the order of a hash of
+    their id (a row that would pass sample_chars is left out, the next ones may fit); the other fields shape the model."""
 
     sample: int = 8000
+    sample_chars: int = 48_000_000
     buckets: int = 1 << 16
     dim: int = 6
     ngrams: tuple[int, ...] = (3, 4, 5)
@@ -160,15 +162,27 @@ def train(rows: Iterable[tuple[str, int]], settings: Settings) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most settings.sample labelled rows of docs, those whose ids hash lowest; of several labels of an id the highest counts."""
+    """Train on at most settings.sample labelled rows of docs, those whose ids hash lowest; of several labels of an id the highest
+    counts, of several texts of an id the least. What reaches the driver is bounded in rows and in characters."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-    chosen = ids.orderBy(F.xxhash64(F.lit(settings.seed), "_id"), "_id").limit(settings.sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").orderBy("_id", "_text")
-    return train(((r["_text"], r["_y"]) for r in rows.toLocalIterator()), settings)
+    order = F.xxhash64(F.lit(settings.seed), "_id")
+    chosen = ids.orderBy(order, "_id").limit(settings.sample)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    rows = cut(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")))
+    sizes = rows.select("_id", F.char_length("_text").alias("n")).orderBy(order, "_id").collect()
+    fitting, used = [], 0
+    for r in sizes:
+        if used + r["n"] <= settings.sample_chars:
+            used += r["n"]
+            fitting.append(r["_id"])
+    wanted = rows if len(fitting) == len(sizes) else rows.where(F.col("_id").isin(fitting))
+    model = train(((r["_text"], r["_y"]) for r in wanted.orderBy("_id").toLocalIterator()), settings)
+    forget(rows)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with one more column, the probability of the toxic class."""
+    """docs with one more column, the probability of the toxic class; a column of docs with its very name gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +193,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], into])
         own.words.clear()
 
-    kept = [c for c in docs.columns if c != into]
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(into, T.DoubleType())])
-    return docs.select(*kept, F.col(text_col).alias("_scored")).mapInArrow(run, schema)
+    kept = docs.select(*[c for c, name in zip(every(docs), docs.columns, strict=True) if name.lower() != into.lower()])
+    schema = T.StructType([*kept.schema.fields, T.StructField(into, T.DoubleType())])
+    text = F.col("`" + text_col.replace("`", "``") + "`")
+    return docs.select(*every(kept), text.cast("string").alias(fresh(docs, "_scored"))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

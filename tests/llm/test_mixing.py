@@ -15,10 +15,16 @@ def test_every_prefix_is_within_a_block(weights):
         assert all(abs(got[n] - slots[n] / 1024 * (t + 1)) < 1 for n in slots)
 
 
+def scheduled(df):
+    return df.select("*", "mix.*") if "block" not in df.columns else df.drop("block").select("*", "mix.*")
+
+
 def test_blocks_against_brute_force(spark, awkward):
     weights = {"s0": 0.5, "s1": 0.25, "s2": 0.2, None: 0.05}
-    got = mixing.mix(awkward, weights, block_chars=500, cycle=64).collect()
-    assert len(got) == awkward.count() and set(got[0].asDict()) >= set(awkward.columns)
+    out = mixing.mix(awkward, weights, block_chars=500, cycle=64)
+    assert out.columns == [*awkward.columns, "mix"] and out.select(*awkward.columns).exceptAll(awkward).isEmpty()
+    got = scheduled(out).collect()
+    assert len(got) == awkward.count()
     slots = mixing.slots_of(weights, 64)
     places = mixing.one_cycle(slots)
     for name in weights:
@@ -31,11 +37,50 @@ def test_blocks_against_brute_force(spark, awkward):
         assert blocks[0] == 0 and blocks[-1] <= volume // 500
 
 
+def test_characters_stay_near_the_shares(spark, awkward):
+    weights = {"s0": 0.4, "s1": 0.3, "s2": 0.2, None: 0.1}
+    got = scheduled(mixing.mix(awkward, weights, block_chars=300, cycle=64)).collect()
+    longest = max(len(r.text or "") for r in got)
+    slots = mixing.slots_of(weights, 64)
+    for name, n in slots.items():
+        own = sorted((r.slot, len(r.text or "")) for r in got if r.source == name)
+        total = sum(v for _, v in own)
+        for t in range(own[-1][0] + 1):
+            done = sum(v for s, v in own if s <= t)
+            assert done <= (t + 1) * n / 64 * 300 + 300 + longest
+            assert done >= min(total, (t + 1) * n / 64 * 300 - 300)
+
+
 def test_stream_ends_and_cap(spark, awkward, nothing):
     weights, below = mixing.capped_weights({"a": 800, "b": 100, "c": 60, "d": 40}, 0.3)
     assert weights["a"] == 0.3 and abs(sum(weights.values()) - 1) < 1e-9 and "a" not in below
     assert mixing.capped_weights({}, 0.3) == ({}, [])
     assert mixing.mixed(nothing).count() == 0
-    some = mixing.mix(awkward, {"s0": 0.5, "s1": 0.5}, until=["s1"], block_chars=100, cycle=64).collect()
+    some = scheduled(mixing.mix(awkward, {"s0": 0.5, "s1": 0.5}, until=["s1"], block_chars=100, cycle=64)).collect()
     assert all(not r.admitted for r in some if r.source in (None, "s2")) and all(r.admitted for r in some if r.source == "s1")
     assert len(mixing.mixed(awkward).collect()) == awkward.count()
+    assert not any(r.admitted for r in scheduled(mixing.mixed(awkward.where("doc_id in (0, 1)"))).collect())
+
+
+def test_many_sources_most_of_them_empty(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN 'text' WHEN id % 4 = 1 THEN '' END AS text", "concat('source', id) AS source")
+    got = scheduled(mixing.mixed(docs)).groupBy("admitted", "text").count().collect()
+    assert {(r.admitted, r.text): r["count"] for r in got} == {(True, "text"): 10_000, (False, ""): 10_000, (False, None): 20_000}
+
+
+def test_too_many_sources_are_named(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10)
+    docs = spark.range(40).selectExpr("id AS doc_id", "CASE WHEN id < 25 THEN 'text' END AS text", "concat('source', id) AS source")
+    with pytest.raises(ValueError, match="25 sources"):
+        mixing.mixed(docs)
+
+
+def test_the_query_against_its_target(spark, tmp_path):
+    sizes = {"hot": 6000, "b": 2000, "c": 1200, "d": 800}
+    rows = [(i, "x" * 20, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n // 20))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op2_source_mixing(spark, str(tmp_path)).collect()
+    over = {"hot", "b"}  # scaled up, b passes 0.3 too
+    slots = mixing.slots_of({n: 0.3 if n in over else 0.4 * v / 2000 for n, v in sizes.items()})
+    places = mixing.one_cycle(slots)
+    assert len(got) == len(rows) and all(r.block == 0 and r.slot == places[r.source][0] for r in got)

@@ -46,3 +46,39 @@ def test_bounded_best_fit():
     bins = packing.OpenSequences(10, 2)
     assert [bins.place(n)[0] for n in (9, 5, 8)] == [0, 1, 2] and bins.count == 2
     assert bins.place(1) == (2, 8)  # sequence 0, the fullest, was closed
+
+
+def plain_best_fit(lengths, capacity, limit):
+    """The same rule over a list of open sequences."""
+    free, out, opened = [], [], 0
+    for n in lengths:
+        fits = [(f, -at) for at, (f, _) in enumerate(free) if f >= n]
+        if fits:
+            f, at = min(fits)
+            f, number = free.pop(-at)
+        else:
+            if len(free) >= limit:
+                fullest = min(range(len(free)), key=lambda i: (free[i][0], -i))
+                free.pop(fullest)
+            f, number = capacity, opened
+            opened += 1
+        out.append((number, capacity - f))
+        if f > n:
+            free.append((f - n, number))
+    return out
+
+
+def test_against_a_plain_list():
+    rng = random.Random(8)
+    for limit in (1, 3, 40):
+        lengths = [rng.randint(1, 100) for _ in range(500)]
+        bins = packing.OpenSequences(100, limit)
+        assert [bins.place(n) for n in lengths] == plain_best_fit(lengths, 100, limit)
+
+
+def test_arrival_does_not_depend_on_length_and_the_bound_holds(spark):
+    rows = [(i, 1 + i * 37 % 100) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), 1, 100, 8).collect()
+    lengths = [r.length for r in got]
+    assert [(r.sequence_id, r.offset) for r in got] == plain_best_fit(lengths, 100, 8) and lengths != sorted(lengths, reverse=True)
+    assert len({r.sequence_id for r in got}) <= 1.1 * sum(lengths) / 100

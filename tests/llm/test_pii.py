@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,100 @@ def test_overlaps_are_one_redaction(spark, model):
     assert pii.redacted(df, model).first().text.count("<") == 1
 
 
+# Written by hand, none of them made from the forms that the trees learn from; the personal part stands between | and |.
+HELD_OUT = """
+You can reach our Leeds branch on |0113 496 0182| before noon.
+Her new cell is |(415) 555-2671|, leave a message.
+Fax the form to |212-555-0187| by Monday.
+Dial |03 9876 5432| if you are in Melbourne.
+Meine Telefonnummer ist |030 901820|.
+Please text me: |6175550123|
+SSN |219-09-9999| was printed on the form.
+Mon portable: |06 12 34 56 78|
+their passport |533380006| was stolen
+Write to |jane.doe (at) company.org| for the slides.
+Mail goes to |support [at] widgets [dot] net| only.
+ask |k.meyer at posteo dot de| about it
+just ping |bob_77 at example.com| tomorrow
+IBAN |GB29 NWBK 6016 1331 9268 19|
+Transfer it to |NL91 ABNA 0417 1643 00| today.
+bank details: |FR14 2004 1010 0505 0001 3M02 606|
+my account |NO93 8601 1117 947| is new
+server |2001:db8:85a3::8a2e:370:7334| is down
+the device |3c:5a:b4:1f:9e:70| answered
+ping |fe80::1ff:fe23:4567:890a| first
+device |00-1B-44-11-3A-B7| again
+The meeting moved to 2023-11-05 at noon.
+On 12/05/1998 they married.
+It was 21.03.2004 when it began.
+Chapters 10-12 and pages 220-245 cover it.
+A total of 1 250 000 people came.
+Order 4451 2209 8871 shipped.
+ISBN 978-14-0283-462-6 is out of print.
+Look at home. The garden is green.
+We met at paper.works on the hill.
+Version 10.4.22.118 fixed it.
+The ratio was 14:22:31:05:18:44 at the end.
+Use std::vector and a::b in code.
+Rooms 12-34-56 are closed.
+invoice no. 5502318874 is paid
+in 2019 2020 and 2021 sales fell
+code AB12 CDEF GHIJ is a sample
+score 10-7 10-8 and 11-9
+"""
+
+
+def test_held_out_recall_and_precision(spark, model):
+    lines = HELD_OUT.strip().split("\n")
+    wanted = {}
+    for i, line in enumerate(lines):
+        parts = line.split("|")
+        if len(parts) == 3:
+            wanted[i] = (len(parts[0]), len(parts[0]) + len(parts[1]))
+    df = spark.createDataFrame([(i, line.replace("|", "")) for i, line in enumerate(lines)], "doc_id long, text string")
+    found = [(r.doc_id, s.start, s.end) for r in pii.personal_spans(df, model).collect() for s in r.spans]
+    right = [x for x in found if x[0] in wanted and x[1] < wanted[x[0]][1] and wanted[x[0]][0] < x[2]]
+    recall, precision = len({x[0] for x in right}) / len(wanted), len(right) / len(found)
+    print(f"recall {recall:.2f} of {len(wanted)}, precision {precision:.2f} of {len(found)}", [lines[i] for i in wanted if i not in {x[0] for x in right}], [(lines[x[0]], x) for x in found if x not in right])
+    assert recall >= 0.8 and precision >= 0.8
+
+
+def test_trees_against_spark_ml(spark, model):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    columns = pii.features("hit", "before", "after")
+    made = pii.examples(spark, 600).selectExpr("label", *[f"{c} AS {n}" for n, c in columns.items()])
+    table = VectorAssembler(inputCols=list(columns), outputCol="features").transform(made).coalesce(1)
+    fitted = GBTClassifier(maxIter=3, maxDepth=3, seed=1).fit(table)
+    own = pii.Boosted(fitted.toDebugString, list(fitted.treeWeights), list(columns), 3)
+    got = fitted.transform(table).selectExpr("rawPrediction", f"{pii.let('array(' + ','.join(columns) + ')', own.margin)} AS margin").collect()
+    assert all(abs(r.rawPrediction[1] - 2 * r.margin) < 1e-9 or abs(r.rawPrediction[1] - r.margin) < 1e-9 for r in got) and len({r.margin for r in got}) > 3
+
+
+def test_a_candidate_beside_a_base_span_counts(spark, model):
+    text = "mail a.b@mail.example.com, phone (555) 123-4567 or +1 (743) 555-3824"
+    spans = [(s.kind, text[s.start : s.end]) for s in pii.personal_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().spans]
+    assert ("number", "(555) 123-4567") in spans and ("email", "a.b@mail.example.com") in spans
+
+
+def test_many_hits_cost_time_in_proportion(spark, model):
+    def seconds(hits):
+        text = " ".join(f"{i:05d}-{i % 97:02d}, 10.0.{i % 256}.7;" for i in range(hits))
+        df = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string"), model)
+        began = time.perf_counter()
+        assert df.first().text.count("<ip>") == hits
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(40_000) < 6 * seconds(10_000)
+
+
+def test_other_columns_stay(spark, model):
+    df = spark.createDataFrame([(1, "call a@b.org", "x", "y", "z")], "doc_id long, text string, base string, spans string, _pii_base string")
+    assert [tuple(r) for r in pii.redacted(df, model).collect()] == [(1, "call <email>", "x", "y", "z")]
+
+
 def test_native(spark, awkward, model):
     plan = pii.personal_spans(awkward, model).select(F.sha2(pii.written("spans"), 256))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -1,10 +1,13 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from assayer.llm import mixing, ngram_join, packing, pii, toxicity
 
 
 def test_stages_work_on_what_is_kept(spark, awkward, tmp_path, monkeypatch):
     monkeypatch.setattr(toxicity.fit, "__defaults__", (toxicity.Settings(sample=200, epochs=2, dim=2), "doc_id", "text", "toxic"))
-    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars")
+    work = ("base", "spans", "block", "slot", "admitted", "mix", "_mix", "_before", "_toxicity", "n", "kept", "node", "component_id", "score", "_base", "_pii", "g", "_scored")
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(f"{w} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(w) for w in work])
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
@@ -15,6 +18,7 @@ def test_stages_work_on_what_is_kept(spark, awkward, tmp_path, monkeypatch):
         now = seen[name][1]
         if name != "packing":
             assert now.columns == docs.columns
+            assert all(r[w] == f"{w} of {'none' if r.doc_id is None else r.doc_id}" for r in now.collect() for w in work)
     before, after = seen["near_duplicates"]
     groups = ngram_join.near_groups(before).where("doc_id is not null").collect()
     kept = [r.doc_id for r in after.collect() if r.doc_id is not None]
@@ -23,7 +27,7 @@ def test_stages_work_on_what_is_kept(spark, awkward, tmp_path, monkeypatch):
     assert before.count() == after.count() and all(r.n_chars == (None if r.text is None else len(r.text)) for r in after.collect())
     assert all(not r.base for r in pii.personal_spans(after.where("text not like '%<%'")).collect())
     before, after = seen["source_mixing"]
-    assert after.count() == mixing.mixed(before).where("admitted").count()
+    assert after.exceptAll(before).isEmpty() and before.exceptAll(after).isEmpty()
     pieces = seen["packing"][1].collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in seen["source_mixing"][1].collect()} and max(r.offset + r.length for r in pieces) <= packing.CAPACITY
     assert cp.run(spark, str(tmp_path)).count() == len(pieces)
@@ -43,9 +47,11 @@ def test_mixing_keeps_every_document_and_its_order_reaches_the_sequences(spark,
     cp.mixing_stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
     after = spark.read.parquet(f"{tmp_path}/mixed")
     assert sorted(after.collect()) == sorted(docs.collect(), key=lambda r: r.doc_id)
-    slot = {r.doc_id: r.slot for r in mixing.mixed(docs).collect()}
+    slot = {r.doc_id: r.mix.slot for r in mixing.mixed(docs).collect()}
     pieces = packing.best_fit_in_order(after, 10).collect()
     assert sorted(r.doc_id for r in pieces) == list(range(len(rows)))
-    order = [slot[r.doc_id] if slot[r.doc_id] is not None else 1 << 62 for r in sorted(pieces, key=lambda r: r.sequence_id >> 40)]
-    stretch = [[s for s, r in zip(order, sorted(pieces, key=lambda r: r.sequence_id >> 40), strict=True) if r.sequence_id >> 40 == k] for k in range(11)]
-    assert all(8 <= len(s) <= 11 for s in stretch) and all(max(a) <= min(b) for a, b in zip(stretch[:-1], stretch[1:], strict=True))
+    order = lambda r: slot[r.doc_id] if slot[r.doc_id] is not None else 1 << 62
+    stretch = [[order(r) for r in pieces if r.sequence_id >> 40 == k] for k in range(11)]
+    assert all(5 <= len(s) <= 15 for s in stretch) and all(max(a) <= min(b) for a, b in zip(stretch[:-1], stretch[1:], strict=True))
+    own = [r for r in pieces if r.sequence_id >> 40 == 0]
+    assert [order(r) for r in sorted(own, key=lambda r: (r.sequence_id, r.offset))] == sorted(map(order, own))
