@@ -65,7 +65,7 @@ def fingerprinted(df: DataFrame, text: str, into: str) -> DataFrame:
 
 def passages(fingerprint: str) -> str:
     """Distinct passage digits of a fingerprint."""
-    return f"array_distinct(regexp_extract_all(regexp_replace(substring({fingerprint}, 66), '[0-9a-f]+[=-]', ' '), '[0-9a-f]{{{DIGITS}}}', 0))"
+    return f"array_distinct(regexp_extract_all(regexp_replace(substring({fingerprint}, 66), '(?<![0-9a-f])[0-9a-f]++[=-]', ' '), '[0-9a-f]{{{DIGITS}}}', 0))"
 
 
 def likeness(a: str, b: str) -> Column:

@@ -12,7 +12,8 @@ hash. Candidates must share a prefix token under the one and under the other bef
    into blocks of a bounded number of sets. A block compares its sets through an index of prefix tokens, and with the one
    set that gives the label its name, and reports links as a star for each connected part.
 4. After the parts are joined up, only tokens that hold more than one part matter. A set outside a token's largest part
-   visits the blocks where that token holds other parts, if it would do so under both orders. Parts that already hang
+   visits the blocks where that token holds other parts, if it would do so under both orders (the order in which parts are
+   larger is one for all tokens, so one of two sets visits the other under both). Parts that already hang
    together are never compared again, so a group of near copies costs about one visit for each block, not one for each pair.
 
 The result is exact: every pair that could link is compared or already connected.
@@ -32,11 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import census
-from .common import bytes_list, cut, documents, mix64, n_groups, word_hashes
+from .common import bytes_list, cut, documents, forget, mix64, n_groups, text_bytes, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 75
 BLOCK_SETS, VISITORS = 256, 2048
+#: A part is heavy if it has at least one in so many of all sets; so there are no more heavy parts than this.
+HEAVY = 1024
 _FACTORS = np.random.default_rng(91).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER_B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -121,7 +124,7 @@ def prefixes(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarr
 
 def survivors(docs: DataFrame, reps: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Representatives whose prefixes hold a token of another set, with their sets and such tokens under both orders."""
-    groups = n_groups(docs.sparkSession)
+    groups = n_groups(docs.sparkSession, text_bytes(docs, text_col))
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null").select(deal, "doc_id", "text")
     chosen = reps.select(deal, "doc_id", "set_a", "set_b")
@@ -263,8 +266,10 @@ def links(kept: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS,
     inside = cut(sets.select(*columns).union(copies.select(*columns)).groupBy("block").applyInArrow(within(percent), LINKS))
     parts = places.select("node", "block").join(components(inside), "node", "left").select("node", "block", F.coalesce("component", "node").alias("part"))
     parts = cut(parts)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("members"))
-    held = tokens.join(parts.join(sizes, "part"), "node")
+    # Any fixed order of the parts gives the same links; heavy ones last saves visits. There are at most HEAVY of those, so they
+    # are broadcast, and no part is dealt to a task by its name.
+    heavy = parts.groupBy("part").agg(F.count("*").alias("members")).where(F.col("members") * HEAVY >= parts.count())
+    held = tokens.join(parts.join(F.broadcast(heavy), "part", "left").withColumn("members", F.coalesce("members", F.lit(0))), "node")
     mixed = held.groupBy("ord", "token").agg(F.min("part").alias("_low"), F.max("part").alias("_high"), F.max(F.struct("members", "part")).alias("_top")).where("_low <> _high").select("ord", "token", F.col("_top.part").alias("top"))
     held = cut(held.join(mixed, ["ord", "token"]))
     targets = held.groupBy("ord", "token", "block").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).withColumnRenamed("block", "to")
@@ -276,7 +281,9 @@ def links(kept: DataFrame, percent: int = PERCENT, block_sets: int = BLOCK_SETS,
     home = kept.join(parts, "node").join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     home = home.select("block", "share", F.lit(0).alias("role"), "node", "part", "shingles", "first", "second")
     outside = visiting.union(home).groupBy("block", "share").applyInArrow(between(percent), LINKS)
-    return inside.union(outside)
+    out = cut(inside.union(outside))
+    forget(tokens, places, inside, parts, held, visits)
+    return out
 
 
 def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -288,7 +295,9 @@ def near_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col:
     members = cut(rows.join(classes, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("node")))
     again = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
     same = members.join(again, "doc_id").select(F.col("node").alias("a"), F.col("a").alias("b"))
-    found = components(links(kept, percent, block_sets).union(same))
+    linked_up = links(kept, percent, block_sets)
+    found = components(linked_up.union(same))
+    forget(rows, classes, kept, linked_up)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     out = members.join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import census
-from .common import SEGMENT, bytes_list, documents, gram_hashes, mix64, n_groups, stored
+from .common import SEGMENT, bytes_list, documents, gram_hashes, mix64, n_groups, stored, text_bytes
 
 LEAST, GRAM = 50, 24
 SPAN = LEAST - GRAM + 1
@@ -219,11 +219,17 @@ class Bucket:
         self.times = np.concatenate(read("times", np.int32)).astype(np.int64)
         self.rows, self.places = np.concatenate(read("rows", np.int32)), np.concatenate(read("places", np.int64))
         self.first = np.cumsum(self.times) - self.times
-        # Equal contexts of several groups: the smallest id stands for them. An id is in one group, which sends a context once.
+        # A context that several groups sent is a leaf of the tree with several occurrences. Its smallest id stands for it in the
+        # suffix array; that id may have rows in several groups (its peers), every larger id is a later occurrence.
         order = np.lexsort((self.ids, self.ctx))
         new = np.concatenate(([True], self.ctx[order][1:] != self.ctx[order][:-1]))
+        number = np.cumsum(new) - 1
         self.leads = order[new]
-        self.later = order[~new]
+        own = self.ids[order] == self.ids[self.leads][number]
+        self.later = order[~own]
+        self.peers = order[own]
+        self.n_peers = np.bincount(number[own], minlength=len(self.leads))
+        self.first_peer = np.cumsum(self.n_peers) - self.n_peers
 
     def windows(self, entry: np.ndarray) -> np.ndarray:
         return (self.ctx[entry].view(np.uint8).reshape(len(entry), WIDTH) != 0).sum(1) - LEAST + 1
@@ -235,8 +241,11 @@ class Bucket:
         if len(number):
             least = np.minimum.reduceat(self.ids[entry], np.flatnonzero(np.concatenate(([True], np.diff(number) != 0))))
             gone = self.ids[entry] > least[number]
-            entry, start, covered = entry[gone], start[gone], covered[gone]
-        whole = self.windows(self.later)
+            context, start, covered = context[gone], start[gone], covered[gone]
+        times = self.n_peers[context]
+        entry = self.peers[np.repeat(self.first_peer[context], times) + ranges(times)]
+        start, covered = np.repeat(start, times), np.repeat(covered, times)
+        whole = self.windows(self.later)  # a leaf's repeat: all windows of the context
         return np.concatenate((self.later, entry)), np.concatenate((np.zeros(len(self.later), np.int64), start)), np.concatenate((whole, covered))
 
 
@@ -270,11 +279,13 @@ class Steps:
     """The tables of one run: texts by group, representatives, the census, and contexts by bucket."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
-        self.groups = n_groups(docs.sparkSession)
-        deal = F.pmod(F.xxhash64("doc_id"), F.lit(self.groups)).cast("int").alias("g")
+        self.groups = n_groups(docs.sparkSession, text_bytes(docs, text_col))
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-        self.texts = rows.select(deal, "doc_id", "text")
-        names = rows.where(f"doc_id is not null and octet_length(text) >= {LEAST}").select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+        sha = F.unhex(F.sha2("text", 256))
+        # By id and text: rows without an id, or of one id, don't all meet in one group.
+        deal = F.pmod(F.xxhash64("doc_id", "sha"), F.lit(self.groups)).cast("int").alias("g")
+        self.texts = rows.withColumn("sha", sha).select(deal, "doc_id", "text")
+        names = rows.where(f"doc_id is not null and octet_length(text) >= {LEAST}").select("doc_id", sha.alias("sha"))
         self.chosen = names.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).select(deal, "doc_id", "sha")
         groups = self.groups
 

@@ -87,8 +87,8 @@ def test_branches_locate_an_edit(spark):
 
 
 def test_long_texts_cost_time_in_proportion(spark):
-    def seconds(lines):
-        text = "\n".join(f"line {i}." for i in range(lines))
+    def seconds(lines, end="\n"):
+        text = end.join(f"line {i}." for i in range(lines))
         df = spark.createDataFrame([(text, text.replace("7.", "x."))], "a string, b string")
         df = fp.fingerprinted(fp.fingerprinted(df, "a", "fa"), "b", "fb").select(fp.changed_paragraphs("fa", "fb"), fp.likeness("fa", "fb"))
         began = time.perf_counter()
@@ -97,6 +97,7 @@ def test_long_texts_cost_time_in_proportion(spark):
 
     seconds(10)
     assert seconds(80_000) < 6 * seconds(20_000)
+    assert seconds(80_000, " ") < 6 * seconds(20_000, " ")
 
 
 def test_native(spark, awkward):
