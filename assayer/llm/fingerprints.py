@@ -128,8 +128,10 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("key"), text_or_empty(text_col).alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     order = successors(rows.groupBy("key").agg(F.max(third).alias("tail")))
-    first = rows.groupBy(F.col("key").alias("next_key")).agg(F.min("text").alias("text"))
-    following = fingerprinted(order.join(first, "next_key"), "text", "next_fingerprint")
+    # The shuffle of all texts by key serves this join and the next; of a repeated key the least text stays, partition by partition.
+    named = rows.select(F.col("key").alias("next_key"), "text")
+    first = order.join(named, "next_key").groupBy("next_key", "key", "tail").agg(F.min("text").alias("text"))
+    following = fingerprinted(first, "text", "next_fingerprint")
     following = following.select("key", F.left("text", F.col("tail")).alias("head"), "next_fingerprint")
     both = rows.join(following, "key").withColumns({"n_chars": F.char_length("text").cast("long"), "tail": third})
     both = both.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.col("tail")).cast("int")), F.left("head", F.col("tail"))))
