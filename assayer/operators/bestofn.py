@@ -123,35 +123,68 @@ def winners(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"winner": F.when(side == "left", F.col("left_uid")).when(side == "right", F.col("right_uid")), "loser": F.when(side == "left", F.col("right_uid")).when(side == "right", F.col("left_uid"))})
 
 
+def _bound(value: Column, body) -> Column:
+    """body of value, evaluated once: inside a lambda Catalyst would put the definition in place of a column's name."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tournament(decided: DataFrame, keys: tuple[str, ...] = ("pool_id",), strict: bool = False) -> DataFrame:
     """Cycle triples, transitivity violations, Condorcet winners and the Copeland margin of each pool.
 
-    Nodes are the ends of decided edges. Of each sorted triple only the chains a > b > c and c > b > a are tested for
-    transitivity. strict counts a cycle only if no edge of it has its reverse.
+    Nodes are the ends of decided edges, 63 at most, numbered in order; whom a node beats is one integer's bits. Of each sorted
+    triple only the chains a > b > c and c > b > a are tested for transitivity. strict counts a cycle only if no edge of it has
+    its reverse.
     """
-    pools = decided.where("winner is not null").groupBy(*keys).agg(F.count("*").alias("n_edges"), F.collect_set(F.concat_ws(">", "winner", "loser")).alias("_beats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("winner", "loser"))))).alias("_nodes"))
-    after = lambda i: F.slice("_nodes", i + 2, F.size("_nodes"))
-    third = lambda a, b: F.transform(F.filter("_nodes", lambda c: c > b), lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))
-    triples = F.flatten(F.transform("_nodes", lambda a, i: F.flatten(F.transform(after(i), lambda b: third(a, b)))))
-    beat = lambda t, x, y: F.array_contains(F.col("_beats"), F.concat_ws(">", t[x], t[y]))
-    alone = lambda t, x, y: beat(t, x, y) & ~beat(t, y, x) if strict else beat(t, x, y)
-    cycle = lambda t: (alone(t, "a", "b") & alone(t, "b", "c") & alone(t, "c", "a")) | (alone(t, "b", "a") & alone(t, "c", "b") & alone(t, "a", "c"))
-    down = lambda t: beat(t, "a", "b") & beat(t, "b", "c") & ~beat(t, "a", "c")
-    up = lambda t: beat(t, "b", "a") & beat(t, "c", "b") & ~beat(t, "c", "a")
-    pools = pools.withColumn("_triples", triples)
-    wins = F.transform("_nodes", lambda n: F.size(F.filter("_beats", lambda e: F.substring_index(e, ">", 1) == n)))
-    pools = pools.withColumn("_wins", F.reverse(F.array_sort(wins)))
-    condorcet = F.size(F.filter("_wins", lambda w: w == F.size("_nodes") - 1))
-    return pools.select(
+    pools = decided.where("winner is not null").groupBy(*keys).agg(F.count("*").alias("n_edges"), F.collect_set(F.struct("winner", "loser")).alias("_beats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("winner", "loser"))))).alias("_nodes"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    place = lambda nodes, x: F.array_position(nodes, x) - 1
+    union_of = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    def masks(edges: Column, nodes: Column, own: str, other: str) -> Column:
+        return F.transform(nodes, lambda n: union_of(F.transform(F.filter(edges, lambda e: e[own] == n), lambda e: bit(place(nodes, e[other])))))
+
+    def counted(out: Column, into: Column) -> Column:
+        """(cycles, violations) from the masks of whom each node beats and who beats it."""
+        alone = lambda xs, ys: F.zip_with(xs, ys, lambda x, y: x.bitwiseAND(F.bitwise_not(y))) if strict else xs
+        has = lambda x, i: F.call_function("shiftrightunsigned", x, i.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+        last = F.size(out) - 1
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.filter(F.sequence(F.lit(0), last), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        zero = F.lit(0).cast("long")
+
+        def cycles(own_out: Column, own_in: Column, p: Column) -> Column:
+            i, j = p["i"], p["j"]
+            round_ = F.when(has(own_out[i], j), own_out[j].bitwiseAND(own_in[i])).otherwise(zero)
+            other = F.when(has(own_out[j], i), own_in[j].bitwiseAND(own_out[i])).otherwise(zero)
+            return F.bit_count(round_.bitwiseOR(other).bitwiseAND(F.bitwise_not(bit(j + 1) - 1))).cast("long")
+
+        def broken(p: Column) -> Column:
+            i, j = p["i"], p["j"]
+            down = F.when(has(out[i], j), out[j].bitwiseAND(F.bitwise_not(out[i])).bitwiseAND(F.bitwise_not(bit(j + 1) - 1))).otherwise(zero)
+            up = F.when(has(out[j], i), out[i].bitwiseAND(F.bitwise_not(out[j])).bitwiseAND(bit(i) - 1)).otherwise(zero)
+            return (F.bit_count(down) + F.bit_count(up)).cast("long")
+
+        total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+        both = lambda o: _bound(alone(into, out), lambda n: total(F.transform(pairs, lambda p: cycles(o, n, p))))
+        return F.struct(_bound(alone(out, into), both).alias("cycles"), total(F.transform(pairs, broken)).alias("broken"))
+
+    def facts(nodes: Column, edges: Column) -> Column:
+        out = lambda o: _bound(masks(edges, nodes, "loser", "winner"), lambda i: F.struct(counted(o, i).alias("c"), F.reverse(F.array_sort(F.transform(o, lambda x: F.bit_count(x)))).alias("wins")))
+        return _bound(masks(edges, nodes, "winner", "loser"), out)
+
+    few = F.when(F.size("_nodes") <= 63, F.col("_nodes")).otherwise(F.raise_error(F.lit("a pool has more than 63 candidates")).cast("array<string>"))
+    rows = pools.select(*keys, "n_edges", F.size("_nodes").alias("n_nodes"), _bound(few, lambda n: _bound(F.col("_beats"), lambda e: facts(n, e))).alias("_f"))
+    condorcet = F.size(F.filter("_f.wins", lambda w: w == F.col("n_nodes") - 1))
+    n = F.col("n_nodes")
+    return rows.select(
         *keys,
-        F.size("_nodes").alias("n_nodes"),
+        "n_nodes",
         "n_edges",
-        F.size("_triples").alias("n_triples"),
-        F.size(F.filter("_triples", cycle)).alias("n_cycle_triples"),
-        (F.size(F.filter("_triples", down)) + F.size(F.filter("_triples", up))).alias("n_transitivity_violations"),
+        (n * (n - 1) * (n - 2) / 6).cast("int").alias("n_triples"),
+        F.col("_f.c.cycles").alias("n_cycle_triples"),
+        F.col("_f.c.broken").alias("n_transitivity_violations"),
         (condorcet == 1).alias("has_condorcet"),
         condorcet.alias("n_condorcet"),
-        (F.get("_wins", F.lit(0)) - F.get("_wins", F.lit(1))).alias("copeland_margin"),
+        (F.get("_f.wins", F.lit(0)) - F.get("_f.wins", F.lit(1))).alias("copeland_margin"),
     )
 
 
@@ -163,9 +196,9 @@ def reciprocal_consistency(decided: DataFrame, keys: tuple[str, ...] = ("pool_id
     return pairs.groupBy(*keys).agg(F.count_if(both).alias("both_orders"), F.count_if(both & (F.col("_w1") == F.col("_w2"))).alias("consistent"))
 
 
-def graph_problems(edges: DataFrame, n: int = 8) -> DataFrame:
+def graph_problems(edges: DataFrame, n: int = 8, keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
     """Pools whose graph isn't one oriented edge for each unordered pair of n candidates."""
-    per = edges.groupBy("pool_id").agg(F.count("*").alias("edges"), F.count_distinct(F.least("left_uid", "right_uid"), F.greatest("left_uid", "right_uid")).alias("pairs"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("left_uid", "right_uid"))))).alias("nodes"))
+    per = edges.groupBy(*keys).agg(F.count("*").alias("edges"), F.count_distinct(F.least("left_uid", "right_uid"), F.greatest("left_uid", "right_uid")).alias("pairs"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("left_uid", "right_uid"))))).alias("nodes"))
     want = n * (n - 1) // 2
     return per.where((F.col("edges") != want) | (F.col("pairs") != want) | (F.col("nodes") != n))
 

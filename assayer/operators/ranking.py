@@ -5,6 +5,7 @@ Every order is explicit; where a file's order matters the caller passes a sequen
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,16 @@ def enum_position(value: str, names: tuple[str, ...]) -> Column:
 
 
 def shard(df: DataFrame, order: list[str | Column], shards: int, k: int) -> DataFrame:
-    """Every shards-th row of the ordered list, from the k-th on; the list is a small registry."""
-    return df.withColumn("_at", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_at") % shards == k).drop("_at")
+    """Every shards-th row of the ordered list, from the k-th on; rows that tie in order are in no set order.
+
+    Rows are dealt out by range; a range counts its own rows and starts after those of the ranges before it, which are a row each.
+    """
+    first = order[0] if isinstance(order[0], Column) else F.col(order[0])
+    ranged = df.repartitionByRange(first).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn("_at", at).where(F.col("_at") % shards == k).drop("_at", "_range", "_before")
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -67,8 +76,13 @@ def z_score(value: str, by: list[str]) -> Column:
 
 def top_margin(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Largest value, second largest and their difference; null where there is no second."""
-    top = F.reverse(F.array_sort(F.collect_list(value)))
-    return df.groupBy(*by).agg(top.alias("_v")).select(*by, F.get("_v", F.lit(0)).alias("top"), F.get("_v", F.lit(1)).alias("second"), (F.get("_v", F.lit(0)) - F.get("_v", F.lit(1))).alias("margin"))
+    per = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    top = per.groupBy(*by).agg(F.max(value).alias("top"), F.max_by("_n", value).alias("_n"))
+    on = [F.col(f"v.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by]
+    rest = per.alias("v").join(top.alias("t"), [*on, F.col(f"v.{value}") < F.col("t.top")]).groupBy(*[F.col(f"v.{b}").alias(b) for b in by]).agg(F.max(f"v.{value}").alias("_below"))
+    both = top.alias("t").join(rest.alias("r"), [F.col(f"t.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by], "left")
+    second = F.when(F.col("t._n") > 1, F.col("t.top")).otherwise(F.col("r._below"))
+    return both.select(*[F.col(f"t.{b}").alias(b) for b in by], F.col("t.top").alias("top"), second.alias("second"), (F.col("t.top") - second).alias("margin"))
 
 
 def frequency(df: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:

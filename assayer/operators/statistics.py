@@ -178,6 +178,36 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], left: str, right: str, n_b
     return means.join(observed, same).select(*by, "n_items", "difference_pp", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
+def analyze_factors(table: DataFrame, n_boot: int = 1000, seed: int = 20260912, strict: bool = True) -> DataFrame:
+    """By factor: the mean gain in held-out error with a bootstrap interval over the held-out families; nulls where it isn't estimable."""
+    folds = leave_one_family_out(table, strict)
+    gains = folds.withColumn("gain", F.col("m0_mae") - F.col("m1_mae")).where("gain is not null")
+    drawn = cluster_bootstrap(gains, ["factor"], "held_out", "gain", bootstrap_mean, n_boot, seed, upper_exclusive=True)
+    both = incremental_validity(folds).join(drawn.select("factor", "low", "high"), "factor", "left")
+    known = F.col("status") == "ESTIMABLE"
+    return both.select("factor", "n_families", "delta_mae", *[F.when(known, F.col(c)).alias(c) for c in ("low", "high")], "status")
+
+
+def nested_gains(table: DataFrame, by: list[str], y: str = "U", small: tuple[str, ...] = tuple(M0), large: tuple[str, ...] = tuple(M1)) -> DataFrame:
+    """In-sample gain of more predictors by group: rise of R2 and fall of RMSE; null where a fit is singular."""
+    a, b = (ols(table, by, y, list(m)).select(*by, F.col("r2").alias(f"r2_{n}"), F.col("rmse").alias(f"rmse_{n}")) for m, n in ((small, "small"), (large, "large")))
+    return a.join(b, by).withColumns({"delta_r2": F.col("r2_large") - F.col("r2_small"), "delta_rmse": F.col("rmse_small") - F.col("rmse_large")})
+
+
+def leave_one_model_out(table: DataFrame, y: str, x: str, by: str = "factor", model: str = "model_id") -> DataFrame:
+    """Adjusted R2 of a one-predictor fit without each model in turn, by factor."""
+    without = table.select(by, F.col(model).alias("left_out")).distinct()
+    others = without.join(table, by).where(F.col(model) != F.col("left_out"))
+    fits = simple_regression(others, [by, "left_out"], y, x)
+    return fits.withColumn("adjusted_r2", adjusted_r2(F.col("r2"), F.col("n"), 1))
+
+
+def regrouped(table: DataFrame, families: dict[str, str], column: str = "model_id") -> DataFrame:
+    """The table with other families, such as those of the decoder; a model that has none keeps its own."""
+    named = F.create_map(*[F.lit(x) for pair in families.items() for x in pair])
+    return table.withColumn("family", F.coalesce(F.try_element_at(named, F.col(column)), F.col("family")))
+
+
 def wald_ci(p: Column, n: Column) -> dict[str, Column]:
     """95 % interval of a share by the normal approximation, kept within 0 and 1."""
     half = 1.96 * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)))

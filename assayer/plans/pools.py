@@ -73,49 +73,67 @@ def copeland_margins(spark, d):
     return ranking.top_margin(B.points(graph(spark, d), KEYS), list(KEYS), "points")
 
 
-BEATS = f"""{WITH}, be AS (SELECT model_id, pool_id, CASE WHEN outcome = 'left' THEN left_uid ELSE right_uid END AS w, CASE WHEN outcome = 'left' THEN right_uid ELSE left_uid END AS l FROM eo WHERE outcome <> 'tie'),
+#: Pairs that are asked in both orders, and in the second order answered the other way.
+TURNED = "CAST(left_score + right_score AS BIGINT) % 3 = 0"
+
+
+def beats(turned: bool, strict: bool) -> str:
+    more = f" UNION ALL SELECT model_id, pool_id, CASE WHEN outcome = 'left' THEN right_uid ELSE left_uid END, CASE WHEN outcome = 'left' THEN left_uid ELSE right_uid END FROM eo WHERE outcome <> 'tie' AND {TURNED}" if turned else ""
+    on = lambda x, y: f"({x}{y} AND NOT {y}{x})" if strict else f"{x}{y}"
+    cycle = f"({on('a', 'b')} AND {on('b', 'c')} AND {on('c', 'a')}) OR ({on('b', 'a')} AND {on('c', 'b')} AND {on('a', 'c')})"
+    return f"""{WITH}, be AS (SELECT model_id, pool_id, CASE WHEN outcome = 'left' THEN left_uid ELSE right_uid END AS w, CASE WHEN outcome = 'left' THEN right_uid ELSE left_uid END AS l FROM eo WHERE outcome <> 'tie'{more}),
 nd AS (SELECT DISTINCT model_id, pool_id, w AS u FROM be UNION SELECT DISTINCT model_id, pool_id, l FROM be),
 tr AS (SELECT a.model_id, a.pool_id, a.u AS a, b.u AS b, c.u AS c FROM nd a JOIN nd b ON a.model_id = b.model_id AND a.pool_id = b.pool_id AND a.u < b.u JOIN nd c ON a.model_id = c.model_id AND a.pool_id = c.pool_id AND b.u < c.u),
 tb AS (SELECT tr.*, {', '.join(f"EXISTS (SELECT 1 FROM be WHERE be.model_id = tr.model_id AND be.pool_id = tr.pool_id AND be.w = tr.{x} AND be.l = tr.{y}) AS {x}{y}" for x in 'abc' for y in 'abc' if x != y)} FROM tr),
-ts AS (SELECT model_id, pool_id, count(*) AS n_triples, count(*) FILTER (WHERE (ab AND bc AND ca) OR (ba AND cb AND ac)) AS n_cycle_triples,
+ts AS (SELECT model_id, pool_id, count(*) AS n_triples, count(*) FILTER (WHERE {cycle}) AS n_cycle_triples,
   count(*) FILTER (WHERE ab AND bc AND NOT ac) + count(*) FILTER (WHERE ba AND cb AND NOT ca) AS n_transitivity_violations FROM tb GROUP BY ALL),
 nc AS (SELECT model_id, pool_id, count(*) AS n_nodes FROM nd GROUP BY ALL), ec AS (SELECT model_id, pool_id, count(*) AS n_edges FROM be GROUP BY ALL),
-wc AS (SELECT nd.model_id, nd.pool_id, nd.u, count(be.l) AS wins FROM nd LEFT JOIN be ON be.model_id = nd.model_id AND be.pool_id = nd.pool_id AND be.w = nd.u GROUP BY ALL),
+wc AS (SELECT nd.model_id, nd.pool_id, nd.u, count(DISTINCT be.l) AS wins FROM nd LEFT JOIN be ON be.model_id = nd.model_id AND be.pool_id = nd.pool_id AND be.w = nd.u GROUP BY ALL),
 wr AS (SELECT *, row_number() OVER (PARTITION BY model_id, pool_id ORDER BY wins DESC) AS k FROM wc),
 cw AS (SELECT model_id, pool_id, count(*) FILTER (WHERE wins = n_nodes - 1) AS n_condorcet, max(CASE WHEN k = 1 THEN wins END) - max(CASE WHEN k = 2 THEN wins END) AS copeland_margin FROM wr JOIN nc USING (model_id, pool_id) GROUP BY ALL)
 SELECT model_id, pool_id, n_nodes, n_edges, coalesce(n_triples, 0) AS n_triples, coalesce(n_cycle_triples, 0) AS n_cycle_triples, coalesce(n_transitivity_violations, 0) AS n_transitivity_violations,
   n_condorcet = 1 AS has_condorcet, n_condorcet, copeland_margin FROM nc JOIN ec USING (model_id, pool_id) JOIN cw USING (model_id, pool_id) LEFT JOIN ts USING (model_id, pool_id)"""
 
 
-def tournaments(spark: SparkSession, d: str, strict: bool) -> DataFrame:
-    decided = B.winners(graph(spark, d).withColumn("parsed_preference", F.lit(None).cast("string")))
-    out = B.tournament(decided, KEYS, strict)
+def decided(spark: SparkSession, d: str, turned: bool = False) -> DataFrame:
+    """Decided edges of all graphs; turned adds the second asking of some pairs, with the other winner."""
+    edges = B.winners(graph(spark, d).withColumn("parsed_preference", F.lit(None).cast("string")))
+    if not turned:
+        return edges
+    again = edges.where(TURNED.replace("BIGINT", "LONG")).withColumns({"left_uid": F.col("right_uid"), "right_uid": F.col("left_uid"), "winner": F.col("loser"), "loser": F.col("winner")})
+    return edges.union(again)
+
+
+def tournaments(spark: SparkSession, d: str, turned: bool, strict: bool) -> DataFrame:
+    out = B.tournament(decided(spark, d, turned), KEYS, strict)
     counts = ("n_nodes", "n_triples", "n_cycle_triples", "n_transitivity_violations", "n_condorcet", "copeland_margin")
     return out.select("model_id", "pool_id", "n_edges", "has_condorcet", *long(*counts))
 
 
-@query(BEATS)
+@query(beats(False, False))
 def tournament_stats(spark, d):
-    return tournaments(spark, d, strict=False)
+    return tournaments(spark, d, turned=False, strict=False)
 
 
-@query(BEATS)
+@query(beats(True, True))
 def tournament_stats_strict(spark, d):
-    return tournaments(spark, d, strict=True)
+    """Some pairs have both orders with different winners, so a cycle may have an edge whose reverse exists."""
+    return tournaments(spark, d, turned=True, strict=True)
 
 
-@query(f"{WITH} SELECT model_id, count(*) AS both_orders, count(*) FILTER (WHERE outcome <> 'tie') AS consistent FROM eo WHERE outcome <> 'tie' GROUP BY model_id")
+@query(f"{WITH} SELECT model_id, count(*) AS both_orders, count(*) FILTER (WHERE NOT {TURNED}) AS consistent FROM eo WHERE outcome <> 'tie' GROUP BY model_id")
 def reciprocal_consistency(spark, d):
-    edges = B.winners(graph(spark, d).withColumn("parsed_preference", F.lit(None).cast("string"))).select(*KEYS, "left_uid", "right_uid", "winner", "loser")
-    turned = edges.select(*KEYS, F.col("right_uid").alias("left_uid"), F.col("left_uid").alias("right_uid"), "winner", "loser")
-    per = B.reciprocal_consistency(edges.union(turned), KEYS)
+    """Every decided pair asked again in the other order; some answers differ."""
+    edges = decided(spark, d).select(*KEYS, "left_uid", "right_uid", "winner", "loser", F.expr(TURNED.replace("BIGINT", "LONG")).alias("turned"))
+    again = edges.select(*KEYS, F.col("right_uid").alias("left_uid"), F.col("left_uid").alias("right_uid"), F.when(F.col("turned"), F.col("loser")).otherwise(F.col("winner")).alias("winner"), "loser", "turned")
+    per = B.reciprocal_consistency(edges.union(again), KEYS)
     return per.groupBy("model_id").agg(F.sum("both_orders").alias("both_orders"), F.sum("consistent").alias("consistent"))
 
 
-@query(f"{WITH} SELECT pool_id, count(*) AS edges, count(*) AS pairs FROM eo WHERE model_id = 'm1' AND (CAST(pool_id AS BIGINT) % 5 <> 0 OR outcome <> 'tie') GROUP BY pool_id HAVING count(*) <> 28")
+@query(f"{WITH} SELECT model_id, pool_id, count(*) AS edges, count(*) AS pairs FROM eo WHERE CAST(pool_id AS BIGINT) % 5 <> 0 OR outcome <> 'tie' GROUP BY model_id, pool_id HAVING count(*) <> 28")
 def graph_problems(spark, d):
-    edges = graph(spark, d).where("model_id = 'm1'").where((F.col("pool_id").cast("long") % 5 != 0) | (F.col("outcome") != "tie"))
-    return B.graph_problems(edges).select("pool_id", "edges", "pairs")
+    edges = graph(spark, d).where((F.col("pool_id").cast("long") % 5 != 0) | (F.col("outcome") != "tie"))
+    return B.graph_problems(edges, keys=KEYS).select(*KEYS, "edges", "pairs")
 
 
 @query(f"{WITH} SELECT pool_id, count(*) FILTER (WHERE n IN (2, 4, 8)) AS sizes FROM (SELECT DISTINCT pool_id, n FROM sel WHERE n <> 8 OR CAST(pool_id AS BIGINT) % 3 = 0) GROUP BY pool_id HAVING count(*) = 3")

@@ -28,7 +28,7 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) ->
 
 def json_items(spark: SparkSession, path: str, item: str, wrappers: tuple[str, ...] = ("items", "records", "triplets")) -> DataFrame:
     """Rows of a JSON document: a bare list, or a list under one of the wrappers (the first filled one)."""
-    element = T._parse_datatype_string(item)
+    element = T.StructType.fromDDL(item)
     wrapped = T.StructType([T.StructField(w, T.ArrayType(element)) for w in wrappers])
     text = spark.read.text(path, wholetext=True)
     is_list = F.trim("value").startswith("[")
@@ -40,12 +40,52 @@ def json_items(spark: SparkSession, path: str, item: str, wrappers: tuple[str, .
 
 def json_map(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
     """A JSON object whose keys are ids: one row for each, the key as a column; later files win."""
-    element = T._parse_datatype_string(value)
+    element = T.StructType.fromDDL(value)
     text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     rows = text.select("_file", F.explode(F.from_json("value", T.MapType(T.StringType(), element))).alias(key, "_v"))
     return rows.groupBy(key).agg(F.max_by("_v", "_file").alias("_v")).select(key, "_v.*")
 
 
+def json_entries(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
+    """As json_map, for objects written with an entry on each line: lines are read apart, so a file of any size is split.
+
+    A line with only a brace is skipped, any other line raises; later files win.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("_file")).where("line not in ('', '{', '}', '},')")
+    entry = F.regexp_extract("line", r'^[{]?\s*"((?:[^"\\]|\\.)*)"\s*:', 1)
+    body = F.regexp_extract("line", r'^[{]?\s*"(?:[^"\\]|\\.)*"\s*:\s*(.*?)\s*,?$', 1)
+    name = F.from_json(F.concat(F.lit('["'), entry, F.lit('"]')), "array<string>")[0]
+    checked = F.when(body.startswith("{"), name).otherwise(F.raise_error(F.concat(F.lit("not one entry on a line: "), F.left("line", F.lit(80)))).cast("string"))
+    rows = lines.select(checked.alias(key), F.from_json(body, value).alias("_v"), "_file")
+    return rows.groupBy(key).agg(F.max_by("_v", "_file").alias("_v")).select(key, "_v.*")
+
+
+def tree(spark: SparkSession, path: str, names: tuple[str, ...], schema: str) -> DataFrame:
+    """Rows of all files below a path whose name, or whose folder's, is one of names, with the file's path."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+    parts = F.split("file_path", "/")
+    return rows.where(F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names])))
+
+
+def zipped_files(archives: DataFrame) -> DataFrame:
+    """archive, path, name, length and content of every member of ZIP archives given as binary files (path, content)."""
+    import io
+    import zipfile
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for at, data in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for member in z.infolist():
+                        if not member.is_dir():
+                            content = z.read(member)
+                            yield pd.DataFrame([{"archive": at, "path": member.filename, "name": member.filename.rpartition("/")[2], "length": len(content), "content": content}])
+
+    return archives.select("path", "content").mapInPandas(run, "archive string, path string, name string, length long, content binary")
+
+
 def tagged_directory(spark: SparkSession, path: str, schema: str, glob: str = "*.json*") -> DataFrame:
     """All files under a directory with the file's name, and test or train by that name."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from typing import Any
 
@@ -25,20 +26,50 @@ def guard_synthetic(df: DataFrame, flag: str = "synthetic") -> DataFrame:
     return df.withColumn(flag, F.when(F.coalesce(F.col(flag), F.lit(False)), F.raise_error(F.lit("a synthetic row in official output")).cast("boolean")).otherwise(F.col(flag)))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; a local session without one gets its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="assayer-shared-"))
+    return sc.getCheckpointDir()
+
+
+def put_in_place(spark: SparkSession, beside: str, path: str) -> None:
+    """Rename a written table to its path; an older one there is renamed aside first and deleted last, so it is never lost."""
+    fs, target = _path(spark, path)
+    aside = _path(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(_path(spark, beside)[1], target):
+        if had:
+            fs.rename(aside, target)
+        raise OSError(f"could not publish {path}")
+    if had:
+        fs.delete(aside, True)
+
+
 def publish(df: DataFrame, path: str, form: str = "json", **options: str) -> None:
-    """Write beside the path and rename, so that readers see the old table or the new one, never a part."""
+    """Write beside the path and rename: readers see the old table or the new one, never a part, and none for the moment between
+    two renames at most. A crash in that moment leaves both tables, the old one under a name that ends in .old-*."""
     spark = df.sparkSession
     beside = f"{path}.writing-{uuid.uuid4().hex}"
     df.write.options(**options).format(form).save(beside)
-    fs, target = _path(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(_path(spark, beside)[1], target):
-        raise OSError(f"could not publish {path}")
+    put_in_place(spark, beside, path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, ascii_only: bool = False) -> None:
+    """JSON lines; ascii_only writes every other character as an escape."""
+    if not ascii_only:
+        df.write.mode("overwrite").json(path)
+        return
+    line = F.to_json(F.struct(*df.columns))
+    units = F.encode(line, "UTF-16BE")
+    escaped = F.array_join(F.transform(F.regexp_extract_all(F.hex(units), F.lit("(.{4})"), F.lit(1)), lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))), "")
+    df.select(F.when(line.rlike(r"^\p{ASCII}*$"), line).otherwise(escaped).alias("value")).write.mode("overwrite").text(path)
 
 
 def content_hash(df: DataFrame) -> str:
@@ -60,22 +91,23 @@ def write_once(df: DataFrame, path: str, form: str = "parquet") -> bool:
     return False
 
 
-def text_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a small text that never changes, such as a receipt; same result as write_once."""
+def text_once(spark: SparkSession, path: str, text: str | bytes) -> bool:
+    """Write a small text, or bytes, that never change, such as a receipt; same result as write_once."""
+    content = text.encode() if isinstance(text, str) else text
     fs, p = _path(spark, path)
     if fs.exists(p):
         stream = fs.open(p)
         try:
-            now = bytes(stream.readAllBytes()).decode()
+            now = bytes(stream.readAllBytes())
         finally:
             stream.close()
-        if now != text:
+        if now != content:
             raise ValueError(f"{path} exists with other contents")
         return False
     beside = _path(spark, f"{path}.writing-{uuid.uuid4().hex}")[1]
     out = fs.create(beside)
     try:
-        out.write(text.encode())
+        out.write(content)
     finally:
         out.close()
     if not fs.rename(beside, p):
@@ -92,11 +124,10 @@ def repair_jsonl(spark: SparkSession, path: str, schema: str) -> int:
     """Rewrite a JSON-lines table without the lines that don't parse; how many went."""
     before = spark.read.text(path).where(F.trim("value") != "").count()
     good = jsonl(spark, path, schema)
-    publish(good, f"{path}.repaired")
-    after = jsonl(spark, f"{path}.repaired", schema).count()
-    fs, old = _path(spark, path)
-    fs.delete(old, True)
-    fs.rename(_path(spark, f"{path}.repaired")[1], old)
+    beside = f"{path}.repaired-{uuid.uuid4().hex}"
+    good.write.json(beside)
+    after = jsonl(spark, beside, schema).count()
+    put_in_place(spark, beside, path)
     return before - after
 
 
