@@ -137,7 +137,7 @@ class _ByText:
 @query(f"""{WITH}, one AS (SELECT *, CAST(pool_id AS BIGINT) % 10 AS q FROM lv WHERE model_id = 'm0'), sub AS (SELECT pool_id, q, n, uid, is_gold FROM one, (SELECT unnest([2, 4, 8]) AS n) s WHERE n >= level),
 gold AS (SELECT pool_id, uid AS gold_uid FROM one WHERE is_gold),
 pick AS (SELECT pool_id, q, n, CASE WHEN q = 0 THEN arg_min(uid, sha256('tie|' || pool_id || '|' || uid)) ELSE min(uid) END AS selected_uid, count(*) AS c FROM sub WHERE q <> 1 GROUP BY pool_id, q, n)
-SELECT pool_id, CAST(n AS INTEGER) AS n, selected_uid, selected_uid = gold_uid AS success, CAST(c * (c - 1) // 2 AS BIGINT) AS n_pairs, CAST(CASE WHEN q = 0 THEN c * (c - 1) // 2 ELSE 0 END AS BIGINT) AS semantic_abstentions, 'ok' AS status FROM pick JOIN gold USING (pool_id)
+SELECT pool_id, CAST(n AS INTEGER) AS n, selected_uid, CAST(selected_uid = gold_uid AS INTEGER) AS success, CAST(c * (c - 1) // 2 AS BIGINT) AS n_pairs, CAST(CASE WHEN q = 0 THEN c * (c - 1) // 2 ELSE 0 END AS BIGINT) AS semantic_abstentions, 'ok' AS status FROM pick JOIN gold USING (pool_id)
 UNION ALL SELECT DISTINCT pool_id, NULL, NULL, NULL, NULL, NULL, 'oom' FROM one WHERE q = 1""")
 def judged_graphs(spark, d):
     """One graph for each pool from a judge; a second run finds every edge in the journal and asks only failed ones again."""
@@ -146,7 +146,7 @@ def judged_graphs(spark, d):
     journal = scratch(spark, "graph")
     graphs.run_pools(cands, _ByText, journal)
     out = graphs.run_pools(cands, _ByText, journal)
-    return out.select("pool_id", "n", "selected_uid", "success", "n_pairs", "semantic_abstentions", "status")
+    return out.select("pool_id", "n", "selected_uid", F.col("success").cast("int").alias("success"), "n_pairs", "semantic_abstentions", "status")
 
 
 @query(f"""{WITH} SELECT model_id, pool_id, CAST(n AS INTEGER) AS n, CASE WHEN CAST(pool_id AS BIGINT) % 50 = 0 THEN 'another winner' ELSE 'not stored' END AS problem FROM sel WHERE (CAST(pool_id AS BIGINT) % 50 = 0) OR (CAST(pool_id AS BIGINT) % 50 = 1 AND n = 4)""")
