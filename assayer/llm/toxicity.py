@@ -163,7 +163,8 @@ def train(rows: Iterable[tuple[str, int]], settings: Settings) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most settings.sample labelled rows of docs, those whose ids hash lowest; of several labels of an id the highest
-    counts, of several texts of an id the least. What reaches the driver is bounded in rows and in characters."""
+    counts, of several texts of an id the least. The sample, bounded in rows and in characters, is read by one task, which trains;
+    the driver gets ids and lengths of it and the finished table, but no text."""
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     order = F.xxhash64(F.lit(settings.seed), "_id")
     chosen = ids.orderBy(order, "_id").limit(settings.sample)
@@ -176,9 +177,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
             used += r["n"]
             fitting.append(r["_id"])
     wanted = rows if len(fitting) == len(sizes) else rows.where(F.col("_id").isin(fitting))
-    model = train(((r["_text"], r["_y"]) for r in wanted.orderBy("_id").toLocalIterator()), settings)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train(((batch.column(0)[i].as_py(), batch.column(1)[i].as_py()) for batch in batches for i in range(batch.num_rows)), settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["table", "bias"])
+
+    learned = wanted.coalesce(1).sortWithinPartitions("_id").select("_text", "_y").mapInArrow(learn, "table binary, bias double").collect()
     forget(rows)
-    return model
+    return Model(np.frombuffer(learned[0]["table"], np.float32), learned[0]["bias"], settings) if learned else train((), settings)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
