@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group that one Python task holds whole.
 GROUP_BYTES = 8 << 20
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to the shared checkpoint folder; compressed, unlike a checkpoint."""
+    """The same rows from a table written to the shared checkpoint folder; compressed, unlike a checkpoint. The shuffle files
+    of the write go when it ends, as the table takes their place; else they stay until the driver collects its garbage."""
     spark = df.sparkSession
     with_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
