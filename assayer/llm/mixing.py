@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,18 +95,19 @@ def volumes(docs: DataFrame, source_col: str = "source", text_col: str = "text")
 
 
 def capped_weights(sizes: dict[str | None, int], max_share: float = MAX_SHARE) -> tuple[dict[str | None, float], list[str | None]]:
-    """Natural shares with none over max_share, and the sources below it. Where too few sources exist to keep it, all share alike."""
-    if not sum(sizes.values()):
+    """Natural shares with none over the cap, and the sources that aren't above it. The cap is max_share, or the equal share of all
+    sources with characters where that is more, as otherwise no mix would keep it."""
+    sizes = {n: v for n, v in sizes.items() if v > 0}
+    if not sizes:
         return {}, []
-    if len([v for v in sizes.values() if v]) * max_share <= 1:
-        return {n: float(v > 0) for n, v in sizes.items()}, []
+    cap = max(Fraction(str(max_share)), Fraction(1, len(sizes)))
     over: set = set()
     while True:
-        rest = sum(v for n, v in sizes.items() if n not in over)
-        scale = (1 - max_share * len(over)) / rest
-        more = {n for n, v in sizes.items() if n not in over and v * scale > max_share}
+        # Exact numbers, as shares that equal the cap aren't over it.
+        rest, left = sum(v for n, v in sizes.items() if n not in over), 1 - cap * len(over)
+        more = {n for n, v in sizes.items() if n not in over and v * left > cap * rest}
         if not more:
-            return {n: max_share if n in over else v * scale for n, v in sizes.items()}, [n for n in sizes if n not in over]
+            return {n: float(cap if n in over else v * left / rest) for n, v in sizes.items()}, [n for n in sizes if n not in over]
         over |= more
 
 
@@ -150,10 +152,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float], until: list[str | Non
 
 
 def mixed(docs: DataFrame, max_share: float = MAX_SHARE, into: str = "mix") -> DataFrame:
-    """The natural mix, but no source over max_share; the stream ends when every source below that has run dry."""
+    """The natural mix, but no source over the cap (see capped_weights); the stream ends when every source that isn't over it has
+    run dry. One rule for any number of sources: with three, each gets a third at most."""
     sizes = volumes(docs)
     weights, below = capped_weights(sizes, max_share)
-    return mix(docs, weights, below or None, sizes, into=into)
+    return mix(docs, weights, below, sizes, into=into)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,24 @@ def test_the_query_against_its_target(spark, tmp_path):
     slots = mixing.slots_of({n: 0.3 if n in over else 0.4 * v / 2000 for n, v in sizes.items()})
     places = mixing.one_cycle(slots)
     assert len(got) == len(rows) and all(r.block == 0 and r.slot == places[r.source][0] for r in got)
+
+
+@pytest.mark.parametrize("n_rest", [1, 2, 3, 9])
+def test_one_rule_for_any_number_of_sources(spark, n_rest):
+    """The hot source is admitted until the others have run dry, whether its share is bounded by MAX_SHARE or by the equal share."""
+    rows = [(i, "x" * 1000, "hot") for i in range(1900)] + [(2000 + i, "x" * 1000, f"s{i % n_rest}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.volumes(docs)
+    weights, below = mixing.capped_weights(sizes)
+    cap = max(mixing.MAX_SHARE, 1 / (1 + n_rest))
+    assert abs(weights["hot"] - cap) < 1e-12 and max(weights.values()) <= cap + 1e-12 and abs(sum(weights.values()) - 1) < 1e-9 and "hot" not in below and below
+    got = mixing.mix(docs, weights, below, sizes, block_chars=2000).select("source", "mix.*").where("admitted").groupBy("source").count().collect()
+    got = {r.source: r["count"] for r in got}
+    assert all(got[f"s{i}"] == 90 // n_rest for i in range(n_rest))
+    assert abs(got["hot"] - 90 * cap / (1 - cap)) <= 2 + 2 * n_rest
+
+
+def test_alone_or_equal_sources_keep_all():
+    assert mixing.capped_weights({"a": 5, "b": 0}) == ({"a": 1.0}, ["a"])
+    weights, below = mixing.capped_weights({"a": 7, "b": 7, "c": 7})
+    assert set(weights.values()) == {1 / 3} and below == ["a", "b", "c"]
