@@ -7,7 +7,7 @@ whole isn't one, each of its runs between = _ / and - is judged in the same way
 name. What a base span covers isn't reported again; the rest of the candidate is.
 
 Positions count code points, ends are exclusive. Defined results: a null or empty text has no spans; repeated rows have the
-same spans; a null id keeps its row; a table without rows gives none; other columns don't matter.
+same spans; a null id keeps its row, ids keep their type; a table without rows gives none; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,21 +110,35 @@ def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def outside(text: str, span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The parts of a span of text that no base span covers; a part of an allowed form, such as a name before a key, isn't one."""
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What spans in order of their start cover together, as ranges that don't touch."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(text: str, span: tuple[int, int, int], covered: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The parts of a span of text outside merged ranges; a part of an allowed form, such as a name before a key, isn't one."""
     start, kind, end = span
     out = []
-    for a, _, b in [*sorted(x for x in base if x[0] < end and start < x[2]), (end, kind, end)]:
-        if start < a:
-            out.append((start, kind, a))
-        start = max(start, b)
+    i = bisect_right(covered, start, key=lambda x: x[1])
+    while start < end:
+        a, b = covered[i] if i < len(covered) else (end, end)
+        if start < min(a, end):
+            out.append((start, kind, min(a, end)))
+        start, i = b, i + 1
     return [x for x in out if x == span or not any(a.fullmatch(text[x[0] : x[2]]) for a in ALLOWED)]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    more = [part for x in entropy_spans(text) for part in outside(text, x, base)]
+    covered = merged(base)
+    more = [part for x in entropy_spans(text) for part in outside(text, x, covered)]
     return base, sorted(base + more)
 
 
@@ -148,7 +163,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             types = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(out, types, strict=True)]], names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, {COLUMNS}")
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
