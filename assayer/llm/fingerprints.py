@@ -18,7 +18,7 @@ paragraphs' digits with them instead of looking them up.
 Defined results: a null text is an empty one, whose fingerprint has a root and no branches; its likeness to any other text
 is 0. Repeated rows have equal fingerprints, other columns of `with_edits` don't matter, those of `fingerprinted` pass
 through, a table without rows gives none. `successors` orders rows by descending id with null as the least; of rows that
-share an id the least text stands for the id.
+share an id the least text stands for the id. Ids keep their type, numbers or text.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ PARAGRAPH = r"[^\n]*\n+|[^\n]+"
 PASSAGE = r"[^.!?\n]{1,40}[.!?\n]*|[.!?\n]+"
 SECTION = r"(?:[0-9a-f]{63}[2-9a-f]-[0-9a-f]* ){0,31}(?:[0-9a-f]{64}-[0-9a-f]* )?"
 SECTION_DIGITS, PARAGRAPH_DIGITS, DIGITS = 16, 12, 6
-LEAST_ID = -(1 << 63)
 
 
 def tree(text: str) -> str:
@@ -125,7 +124,9 @@ def successors(keys: DataFrame, key: str = "key") -> DataFrame:
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text (the last third replaced by the next document's beginning) and likeness."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("key"), text_or_empty(text_col).alias("text"))
+    id_type = docs.select(id_col).schema[0].dataType
+    key = F.struct(F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col), F.lit("0").cast(id_type)).alias("id")).alias("key")
+    rows = docs.select(key, text_or_empty(text_col).alias("text"))
     third = F.floor(F.char_length("text") / 3).cast("int")
     order = successors(rows.groupBy("key").agg(F.max(third).alias("tail")))
     # The shuffle of all texts by key serves this join and the next; of a repeated key the least text stays, partition by partition.
@@ -137,7 +138,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = both.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.col("tail")).cast("int")), F.left("head", F.col("tail"))))
     both = fingerprinted(fingerprinted(both.drop("head"), "text", "fingerprint"), "edited", "edited_fingerprint")
     both = both.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited")
-    doc_id = F.when(F.col("key") != LEAST_ID, F.col("key")).alias("doc_id")
+    doc_id = F.when(F.col("key.known"), F.col("key.id")).alias("doc_id")
     near = [likeness("fingerprint", other).alias(into) for other, into in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
     return both.select(doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, F.size(changed_paragraphs("fingerprint", "edited_fingerprint")).alias("n_changed"))
 

@@ -3,6 +3,8 @@ import random
 import re
 import time
 
+import pytest
+
 from assayer.llm import fingerprints as fp
 from tests.llm.conftest import prose
 
@@ -103,3 +105,10 @@ def test_long_texts_cost_time_in_proportion(spark):
 def test_native(spark, awkward):
     plan = fp.with_edits(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize(("kind", "ids"), [("long", [-(1 << 63), None, 5]), ("string", ["a", None, ""])])
+def test_any_id_keeps_its_value(spark, kind, ids):
+    rows = [(i, f"text number {n}. More of it.") for n, i in enumerate(ids)]
+    got = fp.with_edits(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+    assert {r.doc_id for r in got} == set(ids) and len(got) == 3
