@@ -11,7 +11,8 @@ Ids are those of the tokenizer over the whole text: its splitting never joins wh
 distinct chunk between them is encoded once and a document's ids are the chunks' ids in a row.
 
 Defined results: a null or empty text is the closing id alone, one piece of length 1. Repeated rows are packed as often as
-they occur, a null id is kept, a table without rows gives none, columns other than id and text don't matter.
+they occur, a null id is kept, a table without rows gives none, columns other than id and text don't matter, one named
+_metadata included. `best_fit_in_order` takes any table, read from files or not.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -230,19 +232,33 @@ def best_fit(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     return pack(pieces(docs, path, capacity, id_col=id_col, text_col=text_col), packers_for(docs, text_col), capacity, limit)
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text with _file and _row, which order the rows of docs: its Parquet files by name and their rows, or, where docs
+    isn't a table of files, its partitions and their rows, in a table written once so that they can't change."""
+    try:
+        place = docs.metadataColumn("_metadata")  # the hidden column, whatever columns a caller has
+        found = docs.select("doc_id", "text", place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+        found.schema
+        return found
+    except AnalysisException:
+        row = F.monotonically_increasing_id()
+        return stored(docs.select("doc_id", "text", F.format_string("%010d", F.spark_partition_id()).alias("_file"), (row - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias("_row")))
+
+
 def best_fit_in_order(docs: DataFrame, pieces_per_packer: int = PIECES_PER_PACKER) -> DataFrame:
-    """As best_fit, for a table of Parquet files whose order by name and rows counts: every packer takes one stretch of it.
+    """As best_fit, for a table whose order counts (see _in_order): every packer takes one stretch of it.
 
     Pieces arrive in the table's order, so sequence ids rise along it, but for pieces that fill up sequences opened before.
     """
     spark = docs.sparkSession
+    ordered = _in_order(docs)
     # The files' names, rows and sizes go to the driver, as Spark's own list of files does.
     about = F.sum(F.lit(1) + F.coalesce(F.octet_length("text"), F.lit(0)) / BYTES_PER_PIECE)
-    sizes = sorted((r["f"], r["n"], r["p"]) for r in docs.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n"), about.alias("p")).collect())
+    sizes = sorted((r["f"], r["n"], r["p"]) for r in ordered.groupBy(F.col("_file").alias("f")).agg(F.count("*").alias("n"), about.alias("p")).collect())
     before = [0.0, *accumulate(p for _, _, p in sizes)]
     packers = max(1, math.ceil(before[-1] / pieces_per_packer))
     bases = spark.createDataFrame([(f, i, b / before[-1] * packers, p / n / before[-1] * packers) for i, ((f, n, p), b) in enumerate(zip(sizes, before[:-1], strict=True))], "_file string, _number int, _base double, _step double")
-    placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).join(F.broadcast(bases), "_file")
+    placed = ordered.join(F.broadcast(bases), "_file")
     packer = F.least(F.floor(F.col("_base") + F.col("_row") * F.col("_step")), F.lit(packers - 1)).cast("int")
     dealt = placed.select("doc_id", "text", packer.alias("_packer"), F.col("_number"), F.col("_row"))
     order = (F.col("_number"), F.col("_row"), F.col("piece"))

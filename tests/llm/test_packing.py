@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from assayer.llm import packing
@@ -82,3 +83,14 @@ def test_arrival_does_not_depend_on_length_and_the_bound_holds(spark):
     lengths = [r.length for r in got]
     assert [(r.sequence_id, r.offset) for r in got] == plain_best_fit(lengths, 100, 8) and lengths != sorted(lengths, reverse=True)
     assert len({r.sequence_id for r in got}) <= 1.1 * sum(lengths) / 100
+
+
+@pytest.mark.parametrize("from_files", [True, False])
+def test_in_order_of_any_table(spark, tmp_path, from_files):
+    rows = [(i, "word " * (i % 7), "mine", i) for i in range(30)] + [(None, None, "mine", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _metadata string, _row int").coalesce(1)
+    if from_files:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = packing.best_fit_in_order(docs).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))] == [r[0] for r in rows] and len(got) == 31
