@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -211,11 +211,21 @@ def jsonl_repaired(spark, d):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_nationkey FROM customer")
 def keyed_documents(spark, d):
-    """One JSON object for each nation, keyed by customer; objects are read entry by entry, later files win."""
+    """One JSON object for each nation, keyed by customer, on one line for even nations and pretty-printed for odd ones; read by
+    splits, entry by entry. A document's lines are rows in order, so none is put together in one row."""
     path = scratch(spark, "keyed")
-    rows = table(spark, d, "customer").select("c_nationkey", F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('": '), F.to_json(F.struct("c_name", "c_nationkey"))).alias("e"))
-    rows.groupBy("c_nationkey").agg(F.concat(F.lit("{\n"), F.array_join(F.collect_list("e"), ",\n"), F.lit("\n}")).alias("value")).select("value").write.text(path)
-    return readers.json_entries(spark, path, "c_name string, c_nationkey long").select("id", "c_name", F.col("c_nationkey"))
+    own = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    comma = F.when(F.row_number().over(own) > 1, ", ").otherwise("")
+    entry = F.concat(comma, F.lit('"'), F.col("c_custkey").cast("string"), F.lit('": '), F.to_json(F.struct("c_name", "c_nationkey")))
+    customers = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name")
+    lines = customers.select("c_nationkey", F.lit(1).alias("part"), F.col("c_custkey").alias("at"), entry.alias("value"))
+    nations = customers.select("c_nationkey").distinct()
+    for part, brace in ((0, "{"), (2, "}")):
+        lines = lines.union(nations.select("c_nationkey", F.lit(part), F.lit(0), F.lit(brace)))
+    sorted_lines = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "part", "at").select("c_nationkey", "value")
+    for odd, end in ((0, " "), (1, "\n")):
+        sorted_lines.where(F.col("c_nationkey") % 2 == odd).write.mode("append").partitionBy("c_nationkey").option("lineSep", end).text(path)
+    return readers.json_map(spark, path, "c_name string, c_nationkey long").select("id", "c_name", F.col("c_nationkey"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")

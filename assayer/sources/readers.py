@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import split_json
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -26,38 +29,42 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) ->
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def json_items(spark: SparkSession, path: str, item: str, wrappers: tuple[str, ...] = ("items", "records", "triplets")) -> DataFrame:
-    """Rows of a JSON document: a bare list, or a list under one of the wrappers (the first filled one)."""
-    element = T.StructType.fromDDL(item)
-    wrapped = T.StructType([T.StructField(w, T.ArrayType(element)) for w in wrappers])
-    text = spark.read.text(path, wholetext=True)
-    is_list = F.trim("value").startswith("[")
-    bare = F.from_json("value", T.ArrayType(element))
-    parsed = F.from_json("value", wrapped)
-    rows = F.when(is_list, bare).otherwise(F.coalesce(*[F.when(F.size(parsed[w]) > 0, parsed[w]) for w in wrappers]))
-    return text.select(F.explode(rows).alias("r")).select("r.*")
+def json_items(spark: SparkSession, path: str | list[str], item: str, wrappers: tuple[str, ...] = ("items", "records", "triplets")) -> DataFrame:
+    """Rows of JSON documents of any size and layout: a bare list, or a list under one of the wrappers (the first filled one)."""
+    found = split_json.pieces(spark, path, list_level=1, map_level=2)
+    bare = F.trim("container") == "["
+    name = F.regexp_extract("container", r'^\s*[{]?\s*"([^"\\]*)"\s*:\s*\[$', 1)
+    rank = F.array_position(F.array(*[F.lit(w) for w in wrappers]), name)
+    found = found.withColumn("rank", F.when(bare, 1).otherwise(rank)).where("rank > 0")
+    if len(wrappers) > 1:
+        first = found.groupBy("file").agg(F.min("rank").alias("rank"))
+        found = found.join(first, ["file", "rank"], "left_semi")
+    return found.select(F.from_json("piece", item, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
-def json_map(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
-    """A JSON object whose keys are ids: one row for each, the key as a column; later files win."""
-    element = T.StructType.fromDDL(value)
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    rows = text.select("_file", F.explode(F.from_json("value", T.MapType(T.StringType(), element))).alias(key, "_v"))
-    return rows.groupBy(key).agg(F.max_by("_v", "_file").alias("_v")).select(key, "_v.*")
+def _given_order(spark: SparkSession, paths: list[str], file: Column) -> Column:
+    """The place in paths of the one that a file comes from; its own name orders files of one path."""
+    rank, file = F.lit(len(paths)), F.regexp_replace(file, "^file:/+", "file:/")
+    for i in reversed(range(len(paths))):
+        fs, p = _path(spark, paths[i])
+        for s in fs.globStatus(p) or []:
+            own = re.sub("^file:/+", "file:/", s.getPath().toUri().toString())
+            rank = F.when((file == own) | file.startswith(own.rstrip("/") + "/"), i).otherwise(rank)
+    return rank
 
 
-def json_entries(spark: SparkSession, path: str, value: str, key: str = "id") -> DataFrame:
-    """As json_map, for objects written with an entry on each line: lines are read apart, so a file of any size is split.
+def json_map(spark: SparkSession, path: str | list[str], value: str, key: str = "id") -> DataFrame:
+    """JSON objects of any size and layout whose keys are ids: one row for each, the key as a column.
 
-    A line with only a brace is skipped, any other line raises; later files win.
+    A key of a later document wins, in the order of path where that is a list, by file name within a path; so does a later entry
+    of the same document.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("_file")).where("line not in ('', '{', '}', '},')")
-    entry = F.regexp_extract("line", r'^[{]?\s*"((?:[^"\\]|\\.)*)"\s*:', 1)
-    body = F.regexp_extract("line", r'^[{]?\s*"(?:[^"\\]|\\.)*"\s*:\s*(.*?)\s*,?$', 1)
-    name = F.from_json(F.concat(F.lit('["'), entry, F.lit('"]')), "array<string>")[0]
-    checked = F.when(body.startswith("{"), name).otherwise(F.raise_error(F.concat(F.lit("not one entry on a line: "), F.left("line", F.lit(80)))).cast("string"))
-    rows = lines.select(checked.alias(key), F.from_json(body, value).alias("_v"), "_file")
-    return rows.groupBy(key).agg(F.max_by("_v", "_file").alias("_v")).select(key, "_v.*")
+    found = split_json.pieces(spark, path, list_level=0, map_level=1)
+    entry = F.from_json(F.concat(F.lit("{"), "piece", F.lit("}")), f"map<string, struct<{T.StructType.fromDDL(value).simpleString()[7:-1]}>>", {"mode": "FAILFAST"})
+    paths = path if isinstance(path, list) else [path]
+    at = F.struct(_given_order(spark, paths, F.col("file")).alias("path"), "file", "split", "at").alias("_at")
+    rows = found.select(at, F.explode(entry).alias(key, "_v"))
+    return rows.groupBy(key).agg(F.max_by("_v", "_at").alias("_v")).select(key, "_v.*")
 
 
 def tree(spark: SparkSession, path: str, names: tuple[str, ...], schema: str) -> DataFrame:

@@ -120,10 +120,10 @@ def test_fits(spark):
 def test_entries_zip_and_escapes(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n"x\\"1": {"v": 1},\n"y": {"v": 2}\n}\n')
     (tmp_path / "b.json").write_text('{"y": {"v": 3}}\n')
-    assert sorted(tuple(r) for r in readers.json_entries(spark, str(tmp_path / "*.json"), "v int").collect()) == [('x"1', 1), ("y", 3)]
+    assert sorted(tuple(r) for r in readers.json_map(spark, str(tmp_path / "*.json"), "v int").collect()) == [('x"1', 1), ("y", 3)]
     (tmp_path / "b.json").write_text("[1, 2]\n")
-    with pytest.raises(Exception, match="not one entry on a line"):
-        readers.json_entries(spark, str(tmp_path / "*.json"), "v int").collect()
+    with pytest.raises(Exception, match="not the kind of JSON document"):
+        readers.json_map(spark, str(tmp_path / "*.json"), "v int").collect()
     sink = io.BytesIO()
     with zipfile.ZipFile(sink, "w") as z:
         z.writestr("in/1.jpg", b"one")
