@@ -5,7 +5,7 @@ import pytest
 
 from assayer.sources import readers, split_json
 
-SPLITS = {"spark.sql.files.maxPartitionBytes": "350", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "40", "spark.sql.shuffle.partitions": "2"}
+SPLITS = {"spark.sql.files.maxPartitionBytes": "350", "spark.sql.files.openCostInBytes": "16", "spark.sql.files.minPartitionNum": "40", "spark.sql.shuffle.partitions": "2"}
 
 
 @pytest.fixture
