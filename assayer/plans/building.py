@@ -12,7 +12,8 @@ from ..functions import scenes
 from ..operators import bestofn as B
 from ..operators import graphs, selecting, verification
 from ..operators import statistics as S
-from ..sources import readers, writers
+from ..sources import readers, versions, writers
+from ..streaming import journals
 from .catalog import long, query, rounded
 from .pools import KEYS, graph, levels
 from .proxies import CANDS, table
@@ -209,6 +210,27 @@ def jsonl_repaired(spark, d):
     return readers.jsonl(spark, path, EVENT, strict=True)
 
 
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def torn_journals(spark, d):
+    """Journals read by splits: all events, and a file that was cut short in its only line."""
+    path = scratch(spark, "journals")
+    writers.write_jsonl(table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), path)
+    writers.text_once(spark, f"{path}/torn.json", '{"event_id": 7, "user_i')
+    return journals.journal_rows(spark, path, EVENT)[0]
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def appended_journal(spark, d):
+    """A stream of all events, a third of them twice, appended to a journal that has every seventh event already."""
+    source, journal = scratch(spark, "stream"), scratch(spark, "journal")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    events.write.parquet(source)
+    events.where("event_id % 3 = 0").write.mode("append").parquet(source)
+    events.where("event_id % 7 = 0").write.parquet(journal)
+    journals.append_journal(spark.readStream.schema(events.schema).parquet(source), journal, scratch(spark, "check"), "event_id").start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(journal)
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_nationkey FROM customer")
 def keyed_documents(spark, d):
     """One JSON object for each nation, keyed by customer, on one line for even nations and pretty-printed for odd ones; read by
@@ -246,6 +268,17 @@ def published_twice(spark, d):
     return spark.read.parquet(path).groupBy("r_name").agg(F.count("*").alias("rows"))
 
 
+@query("SELECT r_name, count(*) AS rows FROM region GROUP BY r_name")
+def published_versions(spark, d):
+    """A table published in three versions; the pointer names the last one, and the oldest is gone."""
+    path = scratch(spark, "versions")
+    rows = table(spark, d, "region").select("r_name")
+    for n in (1, 2, 5):
+        versions.publish_version(rows.limit(n), path)
+    versions.expire(spark, path, keep=2)
+    return versions.read_version(spark, path).groupBy("r_name").agg(F.count("*").alias("rows"))
+
+
 @query("SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1")
 def union_of_files(spark, d):
     """Rows of the chosen files of a directory tree: one folder for each line number, two file names, of which both are read."""

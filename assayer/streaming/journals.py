@@ -2,44 +2,97 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merging import appended
-from ..sources.readers import exists
+from ..sources.readers import _path, exists
 
 
 def journal_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, torn): a line that doesn't parse is torn if it is its file's last line and lacks a line end; any other raises."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
-    lines = text.select("_file", F.col("value").endswith("\n").alias("_whole"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("_at", "line"), F.size(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("_lines"))
-    lines = lines.where(F.trim("line") != "").withColumn("r", F.from_json("line", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
-    tail = (F.col("_at") == F.col("_lines") - 1) & ~F.col("_whole")
-    checked = F.when(bad & ~tail, F.raise_error(F.concat(F.lit("corrupt line inside "), "_file")).cast("boolean")).otherwise(bad)
-    lines = lines.withColumn("_torn", checked)
-    return lines.where(~F.col("_torn")).select("r.*").drop("_corrupt_record"), lines.where("_torn").select("_file", "line")
-
-
-def append_journal(stream: DataFrame, journal: str, checkpoint: str, key: str):
-    """A query that appends rows with new keys. Rows already there are ignored, so a batch that runs again changes nothing;
-    the same key with other values stops the query."""
-    schema = stream.schema
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        now = spark.read.schema(schema).parquet(journal) if exists(spark, journal) else spark.createDataFrame([], schema)
-        fresh, conflicts = appended(now, batch, key)
-        if found := conflicts.limit(3).collect():
-            raise ValueError(f"conflicting rows in the journal: {[r[key] for r in found]}")
-        fresh.write.mode("append").parquet(journal)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """(rows, torn): a line that doesn't parse is torn if it is its file's last line and lacks a line end; any other raises.
+
+    Files of any size are read by splits. One aggregate for each file decides: its lines' bytes with a line end each are one more
+    than the file has where the last line lacks its own, and the only bad line has to be the last. It runs when this is called.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"), F.col("value").alias("line"))
+    lines = lines.withColumn("r", F.from_json("line", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    blank = F.trim(F.regexp_replace("line", r"[\t\r]", " ")) == ""
+    lines = lines.withColumn("_bad", ~blank & (F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()))
+    checked = lines.groupBy("_file").agg(F.sum(F.octet_length("line") + F.lit(1)).alias("bytes"), F.max("_size").alias("size"), F.count_if("_bad").alias("bad"), F.max_by("_bad", "_at").alias("last_bad"))
+    # A byte order mark is three bytes of the file that no line has.
+    unterminated = (F.col("bytes") - F.col("size")).isin(1, -2)
+    inside = checked.where((F.col("bad") > 0) & ~((F.col("bad") == 1) & F.col("last_bad") & unterminated)).select("_file").limit(3).collect()
+    if inside:
+        raise ValueError(f"corrupt line inside {', '.join(sorted(r['_file'] for r in inside))}")
+    return lines.where(~F.col("_bad") & ~blank).select("r.*").drop("_corrupt_record"), lines.where("_bad").select("_file", "line")
+
+
+class Appending(StatefulProcessor):
+    """Lets the first row of each key pass, and nothing that repeats it; the state of a key is its row's digest."""
+
+    def __init__(self, key: str, names: list[str]) -> None:
+        self.key, self.names = key, names
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("digest", "digest string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self.seen.update((initialState["_digest"],))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.seen.get()[0] if self.seen.exists() else None
+        for row in rows:
+            if known is None:
+                known = row["_digest"]
+                self.seen.update((known,))
+                yield Row(**{n: row[n] for n in self.names})
+            elif known != row["_digest"]:
+                raise ValueError(f"conflicting rows in the journal: {key[0]}")
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _put(batch: DataFrame, journal: str, name: str) -> None:
+    """Write a batch as files of the journal with names of its own; files that an earlier try left under them go first."""
+    beside = f"{journal}/_writing-{name}"
+    batch.write.mode("overwrite").parquet(beside)
+    fs, folder = _path(batch.sparkSession, beside)
+    done = _path(batch.sparkSession, f"{journal}/{name}-00000.parquet")[1]
+    if fs.exists(done):
+        for old in fs.globStatus(_path(batch.sparkSession, f"{journal}/{name}-*.parquet")[1]):
+            fs.delete(old.getPath(), False)
+    found = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    for i, file in reversed(list(enumerate(found))):  # the first one, which marks that there may be more, comes last
+        fs.rename(_path(batch.sparkSession, file)[1], _path(batch.sparkSession, f"{journal}/{name}-{i:05d}.parquet")[1])
+    fs.delete(folder, True)
+
+
+def append_journal(stream: DataFrame, journal: str, checkpoint: str, key: str, **trigger):
+    """A query that appends rows with new keys. A row like one that is there is ignored; the same key with other values stops it.
+
+    Keys are in the state store, a digest each, so a batch costs what it brings, whatever the journal's size; rows that the
+    journal has when the query first starts are the store's initial state. A batch that runs again replaces its own files. The
+    store is RocksDB, which stateful processors need; trigger is that of writeStream, everything there is by default.
+    """
+    spark, names = stream.sparkSession, stream.columns
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    digest = F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256).alias("_digest")
+    before = spark.read.schema(stream.schema).parquet(journal) if exists(spark, journal) else spark.createDataFrame([], stream.schema)
+    fresh = stream.select("*", digest).groupBy(key).transformWithState(statefulProcessor=Appending(key, names), outputStructType=stream.schema, outputMode="Append", timeMode="None", initialState=before.select(key, digest).groupBy(key))
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return fresh.writeStream.foreachBatch(lambda batch, epoch: _put(batch, journal, f"{run}-{epoch:012d}")).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger or {"availableNow": True})
 
 
 def route_failures(stream: DataFrame, folder: str, checkpoint: str, status: str = "status"):
