@@ -74,25 +74,6 @@ def tree(spark: SparkSession, path: str, names: tuple[str, ...], schema: str) ->
     return rows.where(F.arrays_overlap(parts, F.array(*[F.lit(n) for n in names])))
 
 
-def zipped_files(archives: DataFrame) -> DataFrame:
-    """archive, path, name, length and content of every member of ZIP archives given as binary files (path, content)."""
-    import io
-    import zipfile
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for at, data in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for member in z.infolist():
-                        if not member.is_dir():
-                            content = z.read(member)
-                            yield pd.DataFrame([{"archive": at, "path": member.filename, "name": member.filename.rpartition("/")[2], "length": len(content), "content": content}])
-
-    return archives.select("path", "content").mapInPandas(run, "archive string, path string, name string, length long, content binary")
-
-
 def tagged_directory(spark: SparkSession, path: str, schema: str, glob: str = "*.json*") -> DataFrame:
     """All files under a directory with the file's name, and test or train by that name."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
@@ -129,7 +110,7 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def by_basename(listing: DataFrame) -> DataFrame:
-    """Files by name; a name that occurs twice raises when it is read."""
+    """Files, or members of archives, by name; a name that occurs twice raises when it is read."""
     one = listing.groupBy("name").agg(F.count("*").alias("_n"), F.first("path").alias("path"))
     return one.select("name", F.when(F.col("_n") == 1, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("ambiguous file name: "), "name")).cast("string")).alias("path"))
 

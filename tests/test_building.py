@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assayer.functions import scenes
 from assayer.operators import bestofn, graphs, ranking, selecting
 from assayer.operators import statistics as S
-from assayer.sources import readers, writers
+from assayer.sources import archives, readers, writers
 
 
 def test_steps_scenes_and_attributes(spark):
@@ -129,7 +129,7 @@ def test_entries_zip_and_escapes(spark, tmp_path):
         z.writestr("in/1.jpg", b"one")
         z.writestr("2.jpg", b"")
     (tmp_path / "z.zip").write_bytes(sink.getvalue())
-    got = readers.zipped_files(readers.files(spark, str(tmp_path), "*.zip")).select("name", "length").collect()
+    got = archives.members(spark, str(tmp_path)).select("name", "length").collect()
     assert sorted(tuple(r) for r in got) == [("1.jpg", 3), ("2.jpg", 0)]
     text = 'é "😀" plain'
     writers.write_jsonl(spark.createDataFrame([(text,), ("plain",)], "t string"), str(tmp_path / "ascii"), ascii_only=True)
