@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .expressions import close, col, even_digest, sha
 
@@ -79,3 +83,54 @@ def canonical(c: str | Column) -> Column:
     """JSON of a map with its keys sorted and no spaces, for hashing rows; nulls are written."""
     entries = F.array_sort(F.map_entries(col(c)))
     return F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
+
+
+def _quoted(c: Column) -> Column:
+    """A JSON string in ASCII: escapes as Python's dumps writes them."""
+    short = {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "000C": "\\f", "000A": "\\n", "000D": "\\r", "0009": "\\t"}
+
+    def unit(u: Column) -> Column:
+        out = F.when(u == "0022", short["0022"])
+        for k, v in list(short.items())[1:]:
+            out = out.when(u == k, v)
+        return out.when((u >= "0020") & (u <= "007E"), F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+
+    escaped = F.array_join(F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), unit), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r"^[ !#-\[\]-~]*$"), c).otherwise(escaped), F.lit('"'))
+
+
+def _has(kind: T.DataType, wanted: tuple[type, ...]) -> bool:
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.keyType, kind.valueType] if isinstance(kind, T.MapType) else []
+    return isinstance(kind, wanted) or any(_has(k, wanted) for k in inner)
+
+
+def _dumped(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(_quoted(F.lit(f.name)), F.lit(":"), _dumped(c.getField(f.name), f.dataType)) for f in fields]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat(_quoted(k.cast("string")), F.lit(":"), _dumped(F.element_at(c, k), kind.valueType)))
+        out = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _dumped(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        out = c.cast("string")
+    else:
+        out = _quoted(c.cast("string"))
+    return F.when(c.isNull(), F.lit("null")).otherwise(out)
+
+
+def _sorted_dump(written: pd.Series) -> pd.Series:
+    return written.map(lambda s: json.dumps(json.loads(s)[0], sort_keys=True, separators=(",", ":")))
+
+
+def canonical_json(c: str | Column, kind: T.DataType) -> Column:
+    """JSON of a value of any depth with all keys sorted, without spaces and in ASCII, as Python's sorted dump of it.
+
+    kind is the column's type. Built from JVM functions; only values that hold fractions, whose shortest digits the JVM doesn't
+    write, go through Python in batches. Dates and other types without JSON of their own are strings, NaN is one too.
+    """
+    if _has(kind, (T.DoubleType, T.FloatType)):
+        return F.pandas_udf(_sorted_dump, T.StringType())(F.to_json(F.array(col(c)), {"ignoreNullFields": "false"}))
+    return _dumped(col(c), kind)

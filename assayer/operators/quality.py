@@ -177,6 +177,22 @@ def frozen(report: DataFrame, n: int) -> DataFrame:
     return passed.withColumns({"_size": size, "_rank": rank}).where((F.col("_size") >= n) & (F.col("_rank") <= n)).drop("_size", "_rank")
 
 
+def united_freezes(freezes: DataFrame, factors: tuple[str, ...], n: int, version: str) -> tuple[DataFrame, dict[str, tuple[Column, object]]]:
+    """(items, gates) of a union of frozen factors: n triplets and a row for each variant of each in every factor, no item twice,
+    all passed, every one with an image. Gates are aggregates over the items with the value they have to have."""
+    items = freezes.withColumn("audit_dataset_version", F.lit(version))
+    items = items.withColumn("_copies", F.count("*").over(Window.partitionBy("item_id")))
+    items = items.withColumn("_first", F.row_number().over(Window.partitionBy("factor", "triplet_id").orderBy("item_id")) == 1)
+    gates = {"other factors": (F.count_if(~F.coalesce(F.col("factor").isin(*factors), F.lit(False))), 0)}
+    for f in factors:
+        gates[f"triplets of {f}"] = (F.count_if((F.col("factor") == f) & F.col("_first")), n)
+        gates[f"items of {f}"] = (F.count_if(F.col("factor") == f), n * len(VARIANTS))
+    gates["items twice"] = (F.count_if(F.col("_copies") > 1), 0)
+    gates["not passed"] = (F.count_if(~F.col("qc_status").eqNullSafe("PASS")), 0)
+    gates["without an image"] = (F.count_if(F.coalesce(F.col("image_path"), F.lit("")) == ""), 0)
+    return items, gates
+
+
 def variant_rows(triplets: DataFrame) -> DataFrame:
     """A row for each variant of each triplet: item_id, expected preference and the scene's objects."""
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"{v}.preferred").alias("expected_preference"), F.col(f"{v}.objects").alias("objects")) for v in VARIANTS]))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import col, normal, whole_number
-from .ranking import balanced, first_per_group
+from ..sources.writers import shared_folder
+from .ranking import first_per_group
 
 COUNT_WORDS = ("how many", "number of", "count")
 
@@ -52,13 +53,55 @@ def all_carriers(static: DataFrame, downstream: DataFrame) -> DataFrame:
 
 
 def balanced_unshared(rows: DataFrame, flag: str, image: str, order: list[str | Column], n: int, by: list[str], used: DataFrame | None = None) -> DataFrame:
-    """n rows per group, half with and half without the flag, no image twice and none that is used already.
+    """n rows per group, half with and half without the flag, gaps filled from the rest, no image twice and none that is used.
 
-    An image that several rows have goes to the first of them in order, over all groups, before the halves are filled.
+    Groups pick in order of by, each of its halves and its rest in order, and an image goes to the first row that picks it; one
+    that a row didn't need stays free for the next. The result is that of picking one after the other, in rounds: all groups pick
+    at once, leaving out what earlier groups picked in the round before, until no pick changes. After k rounds the first k groups
+    are final, and without an image that two groups want the first round is. Of a group only rows that can be picked take part.
     """
-    free = rows if used is None else rows.join(used.select(image), image, "left_anti")
-    own = free.withColumn("_n", F.row_number().over(Window.partitionBy(image).orderBy(*order))).where("_n = 1").drop("_n")
-    return balanced(own, flag, order, n, by)
+    place, own = F.struct(*order).alias("_o"), F.struct(*by)
+    dealt = rows.withColumns({"_f": F.coalesce(F.col(flag), F.lit(False)), "_o": place, "_by": own})
+    sizes = dealt.groupBy("_by").agg(F.count_if("_f").alias("_yes"), F.count_if(~F.col("_f")).alias("_no"))
+    n_yes = F.least(F.lit(n // 2), F.col("_yes"))
+    sizes = sizes.select("_by", n_yes.alias("_n1"), F.least(n - n_yes, F.col("_no")).alias("_n2"))
+    free = dealt if used is None else dealt.join(used.select(image), image, "left_anti")
+    # The first row of each kind that has an image in a group.
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    firsts = free.where(F.col(image).isNotNull()).groupBy("_by", F.col(image).alias("_image"), "_f").agg(F.min("_o").alias("_o"), F.min_by(row, "_o").alias("_row"))
+    firsts = firsts.join(sizes, "_by")
+    shared_folder(rows.sparkSession)
+    now = None
+    while True:
+        open_ = firsts
+        if now is not None:
+            taken = now.groupBy("_image").agg(F.min("_by").alias("_taken"))
+            open_ = firsts.join(taken, "_image", "left").where(F.col("_taken").isNull() | (F.col("_taken") >= F.col("_by"))).drop("_taken")
+        picked = _picked(open_, n).checkpoint()
+        if now is None:
+            if picked.groupBy("_image").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+                break
+        elif picked.select("_by", "_image", "_o").exceptAll(now.select("_by", "_image", "_o")).isEmpty():
+            break
+        now = picked
+    return picked.select("_row.*")
+
+
+def _picked(firsts: DataFrame, n: int) -> DataFrame:
+    """A group's picks from its images: _n1 rows with the flag, _n2 without it, then whatever comes first up to n rows."""
+    group = Window.partitionBy("_by")
+    # An image of the other half is lost to at most n picks, so the first 2n images of each kind are enough.
+    near = firsts.withColumn("_k", F.row_number().over(Window.partitionBy("_by", "_f").orderBy("_o"))).where(F.col("_k") <= 2 * n)
+    images = near.groupBy("_by", "_image").agg(*[F.max(F.when(F.col("_f") == f, F.struct("_o", "_row"))).alias(c) for f, c in ((True, "_with"), (False, "_without"))], F.first("_n1").alias("_n1"), F.first("_n2").alias("_n2"))
+    rank = lambda c: F.row_number().over(group.orderBy(F.col(c).isNull(), F.col(f"{c}._o")))
+    one = F.col("_with").isNotNull() & (rank("_with") <= F.col("_n1"))
+    images = images.withColumn("_one", one).withColumn("_second", F.when(~F.col("_one"), F.col("_without")))
+    images = images.withColumn("_two", F.col("_second").isNotNull() & (rank("_second") <= F.col("_n2")))
+    first = F.when(F.col("_with._o") < F.col("_without._o"), F.col("_with")).otherwise(F.coalesce("_without", "_with"))
+    images = images.withColumns({"_third": F.when(~F.col("_one") & ~F.col("_two"), first), "_so_far": F.count_if(F.col("_one") | F.col("_two")).over(group)})
+    three = F.col("_third").isNotNull() & (rank("_third") <= n - F.col("_so_far"))
+    pick = F.when(F.col("_one"), F.col("_with")).when(F.col("_two"), F.col("_without")).when(three, F.col("_third"))
+    return images.select("_by", "_image", pick.alias("_p")).where("_p IS NOT NULL").select("_by", "_image", "_p._o", "_p._row")
 
 
 def coverage(rows: DataFrame, by: str, value: str, values: tuple[str, ...]) -> DataFrame:

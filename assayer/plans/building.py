@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions import scenes
 from ..operators import bestofn as B
-from ..operators import graphs, selecting, verification
+from ..operators import graphs, quality, selecting, verification
 from ..operators import statistics as S
 from ..sources import readers, versions, writers
 from ..streaming import journals
@@ -77,6 +77,14 @@ def canonical_digests(spark, d):
     return table(spark, d, "part").select("p_partkey", F.sha2(scenes.canonical(fields), 256).alias("digest"))
 
 
+@query("""SELECT p_partkey, sha256('{"a":[' || p_size || ',null],"b":{"k":"' || p_brand || '","z":{"' || p_brand || '":["x"],"a\\u00e9":[]}},"m":null}') AS digest FROM part""")
+def nested_digests(spark, d):
+    """Digests of nested structs, maps and arrays, with the keys of all levels in order."""
+    value = F.struct(F.lit(None).cast("string").alias("m"), F.struct(F.create_map(F.lit("aé"), F.array().cast("array<string>"), F.col("p_brand"), F.array(F.lit("x"))).alias("z"), F.col("p_brand").alias("k")).alias("b"), F.array("p_size", F.lit(None)).alias("a"))
+    rows = table(spark, d, "part").select("p_partkey", value.alias("v"))
+    return rows.select("p_partkey", F.sha2(scenes.canonical_json("v", rows.schema["v"].dataType), 256).alias("digest"))
+
+
 # ---------------------------------------------------------------- item tables
 
 
@@ -87,13 +95,43 @@ def cleaned_rows(spark, d):
     return selecting.cleaned(rows, ("vg", "coco")).select("p_partkey", "gold")
 
 
-@query("""WITH own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part WHERE p_size NOT IN (SELECT s_nationkey FROM supplier)) WHERE n = 1),
-h AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % 2, p_size % 3 = 0 ORDER BY p_partkey) AS k FROM own), l AS (SELECT *, CAST(k > 3 AS INT) AS late FROM h),
-r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY late, p_partkey) AS place FROM l) SELECT p_partkey % 2 AS half, p_partkey, p_size FROM r WHERE place <= 6""")
+def _pick_sql(half: int, n: int, before: str) -> str:
+    """Common tables of one group's picks, one half after the other and then the rest, among images that none before has."""
+    pool = f"(SELECT * FROM part WHERE p_partkey % 2 = {half} AND p_size NOT IN (SELECT s_nationkey FROM supplier){before})"
+    first = lambda rows: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM {rows}) WHERE k = 1)"
+    yes, no = (f"(SELECT count(*) FROM part WHERE p_partkey % 2 = {half} AND p_partkey % 3 {op} 0)" for op in ("=", "<>"))
+    some = lambda name, rows, limit: f"{name}{half} AS (SELECT p_partkey, p_size FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM {first(rows)}) WHERE r <= {limit})"
+    taken = [f" AND p_size NOT IN (SELECT p_size FROM {x}{half})" for x in ("one", "two")]
+    n1 = f"least({n // 2}, {yes})"
+    return ", ".join([
+        some("one", f"(SELECT * FROM {pool} WHERE p_partkey % 3 = 0)", n1),
+        some("two", f"(SELECT * FROM {pool} WHERE p_partkey % 3 <> 0{taken[0]})", f"least({n} - {n1}, {no})"),
+        some("three", f"(SELECT * FROM {pool} WHERE true{''.join(taken)})", f"{n} - (SELECT count(*) FROM one{half}) - (SELECT count(*) FROM two{half})"),
+        f"all{half} AS (SELECT * FROM one{half} UNION ALL SELECT * FROM two{half} UNION ALL SELECT * FROM three{half})",
+    ])
+
+
+@query(f"""WITH {_pick_sql(0, 14, "")}, {_pick_sql(1, 14, " AND p_size NOT IN (SELECT p_size FROM all0)")} SELECT p_partkey % 2 AS half, * FROM (SELECT * FROM all0 UNION ALL SELECT * FROM all1)""")
 def balanced_unshared(spark, d):
-    rows = table(spark, d, "part").select((F.col("p_partkey") % 2).alias("half"), "p_partkey", "p_size", (F.col("p_size") % 3 == 0).alias("flag"))
+    """Halves that share their images: a part's size is the image, and both kinds of parts and both groups have all sizes."""
+    rows = table(spark, d, "part").select((F.col("p_partkey") % 2).alias("half"), "p_partkey", "p_size", (F.col("p_partkey") % 3 == 0).alias("flag"))
     used = table(spark, d, "supplier").select(F.col("s_nationkey").alias("p_size"))
-    return selecting.balanced_unshared(rows, "flag", "p_size", ["p_partkey"], 6, ["half"], used).select("half", "p_partkey", "p_size")
+    return selecting.balanced_unshared(rows, "flag", "p_size", ["p_partkey"], 14, ["half"], used).select("half", "p_partkey", "p_size")
+
+
+@query("""SELECT c_mktsegment AS factor, c_custkey AS triplet_id, c_custkey || ':' || v AS item_id, 'FAST_TRACK' AS audit_dataset_version
+FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer WHERE c_acctbal > 0), (SELECT unnest(['base', 'relevant', 'irrelevant']) AS v) WHERE r <= 20""")
+def united_freezes(spark, d):
+    """Five frozen factors in one table, written only as its gates hold: sizes, items once, all passed, all with an image."""
+    path = scratch(spark, "freeze")
+    report = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_mktsegment").alias("factor"), F.col("c_custkey").alias("triplet_id"), F.lit("PASS").alias("status"))
+    variant = F.explode(F.array(*[F.lit(v) for v in quality.VARIANTS]))
+    rows = quality.frozen(report, 20).select("factor", "triplet_id", F.col("status").alias("qc_status"), variant.alias("v"))
+    rows = rows.select("factor", "triplet_id", "qc_status", F.concat_ws(":", "triplet_id", "v").alias("item_id"), F.concat(F.lit("images/"), F.col("triplet_id").cast("string")).alias("image_path"))
+    factors = tuple(r[0] for r in table(spark, d, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(6).collect())
+    items, gates = quality.united_freezes(rows, factors, 20, "FAST_TRACK")
+    writers.publish_gated(items, path, gates)
+    return spark.read.parquet(path).select("factor", "triplet_id", "item_id", "audit_dataset_version")
 
 
 @query("""SELECT p_brand AS mapping_source, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'count' END AS factor, count(*) AS questions, count(*) FILTER (WHERE p_size % 3 <> 0) AS resolved FROM part GROUP BY ALL""")

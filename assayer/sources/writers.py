@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,24 @@ def publish(df: DataFrame, path: str, form: str = "json", **options: str) -> Non
     put_in_place(spark, beside, path)
 
 
+def publish_gated(df: DataFrame, path: str, gates: dict[str, tuple[Column, Any]], form: str = "parquet", **options: str) -> dict[str, Any]:
+    """Publish df if every gate, an aggregate and the value it has to have, holds; else raise and leave path as it was.
+
+    The aggregates are observed in the pass that writes, so nothing is read twice. Returns what was observed.
+    """
+    spark = df.sparkSession
+    beside = f"{path}.writing-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, (c, _) in gates.items()]).write.options(**options).format(form).save(beside)
+    found = seen.get
+    if failed := [f"{name}: {found[name]}, not {want}" for name, (_, want) in gates.items() if found[name] != want]:
+        fs, place = _path(spark, beside)
+        fs.delete(place, True)
+        raise ValueError(f"not published, {'; '.join(failed)}")
+    put_in_place(spark, beside, path)
+    return found
+
+
 def write_jsonl(df: DataFrame, path: str, ascii_only: bool = False) -> None:
     """JSON lines; ascii_only writes every other character as an escape."""
     if not ascii_only:
