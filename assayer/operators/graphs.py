@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import pair_outcome
 from ..sources.readers import exists
 from . import bestofn
-from .judging import Judge, run_items
+from .judging import Judge, ScalarJudge, run_items, run_scores
 
 ENDS = ("left_uid", "right_uid")
 
@@ -39,7 +39,8 @@ def asked(pairs: DataFrame, make: Callable[[], Judge], keys: tuple[str, ...] = (
 
 
 def pairwise_graph(pairs: DataFrame, make: Callable[[], Judge], journal: str, keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
-    """Answers to all pairs: those in the journal, and the missing ones asked now and appended to it."""
+    """Answers to all pairs: those in the journal, and the missing ones asked and appended to it when this is called, so that the
+    result only reads. Runs that share a journal have to come one after the other; at once, each would ask what both miss."""
     spark = pairs.sparkSession
     columns = [*keys, *ENDS, "outcome", "status", "message"]
     before = spark.read.parquet(journal) if exists(spark, journal) else None
@@ -58,8 +59,38 @@ def run_pools(cands: DataFrame, make: Callable[[], Judge], journal: str, keys: t
     own = cands.groupBy(*keys).agg(F.first("question").alias("question"), F.first("image_path").alias("image_path"))
     pairs = bestofn.pool_pairs(cands, ("text", "level"), salts[0], keys).join(own, list(keys))
     graph = pairwise_graph(pairs.withColumn("level", F.greatest("left_level", "right_level")), make, journal, keys)
-    failed = graph.where("outcome is null").groupBy(*keys).agg(F.min_by(F.struct("status", "message"), F.struct(*ENDS)).alias("f")).select(*keys, "f.*")
+    return _selected(cands, graph, _failures(graph, "outcome", ENDS, keys), keys, salts[1])
+
+
+def _failures(rows: DataFrame, value: str, order: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """One failed call of each pool that has any: the first in order."""
+    return rows.where(F.col(value).isNull()).groupBy(*keys).agg(F.min_by(F.struct("status", "message"), F.struct(*order)).alias("f")).select(*keys, "f.*")
+
+
+def _selected(cands: DataFrame, graph: DataFrame, failed: DataFrame, keys: tuple[str, ...], salt: str) -> DataFrame:
     whole = graph.join(failed.select(*keys), list(keys), "left_anti")
-    chosen = bestofn.selections(cands, whole, keys, salts[1])
+    chosen = bestofn.selections(cands, whole, keys, salt)
     chosen = chosen.select(*keys, "n", "selected_uid", "gold_uid", "success", "n_pairs", "ties", "semantic_abstentions", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message"))
     return chosen.unionByName(failed, allowMissingColumns=True)
+
+
+def candidate_scores(cands: DataFrame, make: Callable[[], ScalarJudge], journal: str, keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
+    """cands with score, status and message: scores in the journal, and missing ones asked when this is called, one call for each
+    candidate. A failed call has no score and is asked again by the next run."""
+    spark, on = cands.sparkSession, [*keys, "uid"]
+    todo = cands.select(*on, "question", F.col("text").alias("candidate"), "image_path").dropDuplicates(on)
+    if exists(spark, journal):
+        todo = todo.join(spark.read.parquet(journal).where("score IS NOT NULL").select(*on), on, "left_anti")
+    rows = run_scores(todo.select(F.to_json(F.struct(*on)).alias("item_id"), "question", "candidate", "image_path"), make)
+    rows = rows.select(F.from_json("item_id", cands.select(*on).schema).alias("e"), "score", "status", "message").select("e.*", "score", "status", "message")
+    rows.write.mode("append").parquet(journal)
+    best = spark.read.parquet(journal).groupBy(*on).agg(F.min_by(F.struct("score", "status", "message"), F.struct(F.col("score").isNull(), "status")).alias("r"))
+    return cands.drop("score", "status", "message").join(best.select(*on, "r.*"), on)
+
+
+def score_pools(cands: DataFrame, make: Callable[[], ScalarJudge], journal: str, keys: tuple[str, ...] = ("pool_id",), salts: tuple[str, str] = ("orientation", "tie")) -> DataFrame:
+    """As run_pools, by a judge that scores candidates: 8 calls for a pool of 8 instead of 28, pairs come from a join."""
+    scored = candidate_scores(cands, make, journal, keys)
+    failed = _failures(scored, "score", ("uid",), keys)
+    graph = bestofn.scalar_graph(scored.join(failed.select(*keys), list(keys), "left_anti"), salt=salts[0], keys=keys)
+    return _selected(cands, graph, failed, keys, salts[1])

@@ -158,7 +158,7 @@ def routed_pools(spark, d):
 
 
 class _ByText:
-    """A judge for demonstrations: the smaller text wins, and some pools' calls fail or don't parse."""
+    """A judge for demonstrations: the smaller text wins, or the larger one for some judges; some calls fail or don't parse."""
 
     def load(self) -> None:
         self.asked = 0
@@ -167,25 +167,49 @@ class _ByText:
         self.asked += 1
         if question == "oom":
             raise MemoryError("out of memory")
-        return "?" if question == "unclear" else "A" if candidate_a <= candidate_b else "B"
+        return "?" if question == "unclear" else "A" if (candidate_a <= candidate_b) == (question == "least") else "B"
+
+    def score_candidate(self, image_path: str | None, question: str, candidate: str) -> float:
+        self.asked += 1
+        if question == "oom":
+            raise MemoryError("out of memory")
+        return float(candidate)
 
     def close(self) -> None:
         self.asked = 0
 
 
-@query(f"""{WITH}, one AS (SELECT *, CAST(pool_id AS BIGINT) % 10 AS q FROM lv WHERE model_id = 'm0'), sub AS (SELECT pool_id, q, n, uid, is_gold FROM one, (SELECT unnest([2, 4, 8]) AS n) s WHERE n >= level),
-gold AS (SELECT pool_id, uid AS gold_uid FROM one WHERE is_gold),
-pick AS (SELECT pool_id, q, n, CASE WHEN q = 0 THEN arg_min(uid, sha256('tie|' || pool_id || '|' || uid)) ELSE min(uid) END AS selected_uid, count(*) AS c FROM sub WHERE q <> 1 GROUP BY pool_id, q, n)
-SELECT pool_id, CAST(n AS INTEGER) AS n, selected_uid, CAST(selected_uid = gold_uid AS INTEGER) AS success, CAST(c * (c - 1) // 2 AS BIGINT) AS n_pairs, CAST(CASE WHEN q = 0 THEN c * (c - 1) // 2 ELSE 0 END AS BIGINT) AS semantic_abstentions, 'ok' AS status FROM pick JOIN gold USING (pool_id)
-UNION ALL SELECT DISTINCT pool_id, NULL, NULL, NULL, NULL, NULL, 'oom' FROM one WHERE q = 1""")
+def _asked(spark: SparkSession, d: str, text: str) -> DataFrame:
+    """Candidates of all pools and judges, with the question that makes a call fail, not parse, or go either way."""
+    m = F.substring("model_id", 2, 9).cast("long")
+    k = (F.col("pool_id").cast("long") + m) % 10
+    question = F.when(k == 0, "unclear").when(k == 1, "oom").when(m % 2 == 0, "least").otherwise("largest")
+    return levels(spark, d).select(*KEYS, "uid", "is_gold", "level", F.col(text).cast("string").alias("text"), question.alias("question"), F.lit(None).cast("string").alias("image_path"))
+
+
+ASKED = f"""{WITH}, one AS (SELECT *, CAST(substr(model_id, 2) AS BIGINT) AS m, (CAST(pool_id AS BIGINT) + CAST(substr(model_id, 2) AS BIGINT)) % 10 AS q FROM lv)"""
+
+
+@query(f"""{ASKED}, sub AS (SELECT model_id, m, pool_id, q, n, uid, is_gold FROM one, (SELECT unnest([2, 4, 8]) AS n) s WHERE n >= level),
+gold AS (SELECT model_id, pool_id, uid AS gold_uid FROM one WHERE is_gold),
+pick AS (SELECT model_id, pool_id, q, n, CASE WHEN q = 0 THEN arg_min(uid, sha256('tie|' || pool_id || '|' || uid)) WHEN m % 2 = 0 THEN min(uid) ELSE max(uid) END AS selected_uid, count(*) AS c FROM sub WHERE q <> 1 GROUP BY model_id, m, pool_id, q, n)
+SELECT model_id, pool_id, CAST(n AS INTEGER) AS n, selected_uid, CAST(selected_uid = gold_uid AS INTEGER) AS success, CAST(c * (c - 1) // 2 AS BIGINT) AS n_pairs, CAST(CASE WHEN q = 0 THEN c * (c - 1) // 2 ELSE 0 END AS BIGINT) AS semantic_abstentions, 'ok' AS status FROM pick JOIN gold USING (model_id, pool_id)
+UNION ALL SELECT DISTINCT model_id, pool_id, NULL, NULL, NULL, NULL, NULL, 'oom' FROM one WHERE q = 1""")
 def judged_graphs(spark, d):
-    """One graph for each pool from a judge; a second run finds every edge in the journal and asks only failed ones again."""
-    k = F.col("pool_id").cast("long") % 10
-    cands = levels(spark, d).where("model_id = 'm0'").select("pool_id", "uid", "is_gold", "level", F.col("uid").alias("text"), F.when(k == 0, "unclear").when(k == 1, "oom").otherwise("which?").alias("question"), F.lit(None).cast("string").alias("image_path"))
-    journal = scratch(spark, "graph")
-    graphs.run_pools(cands, _ByText, journal)
-    out = graphs.run_pools(cands, _ByText, journal)
-    return out.select("pool_id", "n", "selected_uid", F.col("success").cast("int").alias("success"), "n_pairs", "semantic_abstentions", "status")
+    """One graph for each pool and judge; a second run finds every edge in the journal and asks only failed ones again."""
+    journal, cands = scratch(spark, "graph"), _asked(spark, d, "uid")
+    graphs.run_pools(cands, _ByText, journal, KEYS)
+    out = graphs.run_pools(cands, _ByText, journal, KEYS)
+    return out.select(*KEYS, "n", "selected_uid", F.col("success").cast("int").alias("success"), "n_pairs", "semantic_abstentions", "status")
+
+
+@query(f"""{ASKED}, bad AS (SELECT DISTINCT model_id, pool_id FROM one WHERE q = 1)
+SELECT model_id, pool_id, CAST(n AS INTEGER) AS n, selected_uid, CAST(success AS INTEGER) AS success, n_pairs, ties, 'ok' AS status FROM sel WHERE (model_id, pool_id) NOT IN (SELECT (model_id, pool_id) FROM bad)
+UNION ALL SELECT model_id, pool_id, NULL, NULL, NULL, NULL, NULL, 'oom' FROM bad""")
+def scored_graphs(spark, d):
+    """As judged_graphs, by judges that score a candidate at a time."""
+    out = graphs.score_pools(_asked(spark, d, "score"), _ByText, scratch(spark, "scores"), KEYS)
+    return out.select(*KEYS, "n", "selected_uid", F.col("success").cast("int").alias("success"), "n_pairs", "ties", "status")
 
 
 @query(f"""{WITH} SELECT model_id, pool_id, CAST(n AS INTEGER) AS n, CASE WHEN CAST(pool_id AS BIGINT) % 50 = 0 THEN 'another winner' ELSE 'not stored' END AS problem FROM sel WHERE (CAST(pool_id AS BIGINT) % 50 = 0) OR (CAST(pool_id AS BIGINT) % 50 = 1 AND n = 4)""")

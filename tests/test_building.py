@@ -146,3 +146,30 @@ def test_publish_keeps_the_old_table_when_writing_fails(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
     writers.publish(spark.range(5), path, "parquet")
     assert spark.read.parquet(path).count() == 5 and not [p for p in os.listdir(tmp_path) if ".old-" in p]
+
+
+class Scoring(Counting):
+    """Scores by the text's number; fails on one pool until a file is there, and once gives no finite score."""
+
+    def score_candidate(self, image_path, question, candidate):
+        with open(f"{self.folder}/calls", "a") as f:
+            f.write(f"{question}\n")
+        if question == "bad" and candidate == "5" and not os.path.exists(f"{self.folder}/repaired"):
+            return float("nan")
+        return float(candidate)
+
+
+def test_a_scalar_judge_is_asked_once_for_each_candidate(spark, tmp_path):
+    rows = [(m, p, f"u{i}", str(i // 2), i == 3, 2 if i in (0, 3) else 4 if i in (1, 2) else 8, "bad" if p == "b" else "good", None) for m in ("m", "n") for p in "ab" for i in range(8)]
+    rows = [(*r[:3], "5" if r[2] == "u7" and r[1] == "b" else r[3], *r[4:]) for r in rows]
+    cands = spark.createDataFrame(rows, "model_id string, pool_id string, uid string, text string, is_gold boolean, level int, question string, image_path string")
+    run = lambda: sorted((r.model_id, r.pool_id, r.n or 0, r.n_pairs, r.ties, r.status) for r in graphs.score_pools(cands, lambda: Scoring(str(tmp_path)), str(tmp_path / "scores"), ("model_id", "pool_id")).collect())
+    ok = lambda p: [(m, p, n, n * (n - 1) // 2, t, "ok") for m in ("m", "n") for n, t in ((2, 0), (4, 2), (8, 4 if p == "a" else 3))]
+    failed = [(m, "b", 0, None, None, "error") for m in ("m", "n")]
+    assert run() == sorted(ok("a") + failed)
+    calls = open(tmp_path / "calls").read().split()
+    assert calls.count("good") == calls.count("bad") == 16
+    (tmp_path / "repaired").write_text("")
+    assert run() == sorted(ok("a") + ok("b"))
+    calls = open(tmp_path / "calls").read().split()
+    assert calls.count("good") == 16 and calls.count("bad") == 18
