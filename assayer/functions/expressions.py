@@ -41,9 +41,21 @@ def sha(*parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("|", *[col(p) for p in parts]), 256)
 
 
+#: Cherokee letters, whose folded form is the upper case.
+SMALL = "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
+LARGE = "".join(map(chr, [*range(0x13A0, 0x13F0), *range(0x13F0, 0x13F6)]))
+
+
+def casefold(c: str | Column) -> Column:
+    """Case-folded: lower, upper and lower case in turn bring together what differs in case only, such as \u1e9e, \u00df and ss. A
+    dotless i stays one and every sigma is the same. Stand-ins for both also keep the optimizer from leaving out a turn."""
+    upper = F.upper(F.translate(F.lower(col(c)), "\u0131", "\uf8ff"))
+    return F.translate(F.lower(F.translate(upper, "\u03a3", "\uf8fe")), "\uf8fe\uf8ff\u03c2" + SMALL, "\u03c3\u0131\u03c3" + LARGE)
+
+
 def normal(c: str | Column) -> Column:
-    """Trimmed and lower-cased."""
-    return F.lower(F.trim(col(c)))
+    """Trimmed and case-folded."""
+    return casefold(F.trim(col(c)))
 
 
 def candidate_uid(index: str | Column, text: str | Column, *ids: str | Column) -> Column:

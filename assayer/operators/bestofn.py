@@ -55,10 +55,16 @@ def subsets(levels: DataFrame) -> DataFrame:
     return levels.withColumn("n", F.explode(F.array(*[F.lit(n) for n in SIZES]))).where("n >= level")
 
 
+def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """df dealt by keys into as many partitions as shuffles have. Pools are small rows of which much is made, so partitions that
+    adaptive execution would join by size are to stay apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def pool_pairs(cands: DataFrame, extra: tuple[str, ...] = (), salt: str = "orientation", keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
     """Every unordered pair of a pool, oriented by a salted digest: left_uid, right_uid, and extra columns of both sides."""
     fields = ("uid", *extra)
-    pools = cands.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_c"))
+    pools = spread(cands, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_c"))
     later = lambda a, i: F.transform(F.slice("_c", i + 2, F.size("_c")), lambda b: F.struct(a.alias("a"), b.alias("b")))
     rows = pools.select(*keys, F.explode(F.flatten(F.transform("_c", later))).alias("p"))
     left, right = oriented("pool_id", F.col("p.a.uid"), F.col("p.b.uid"), salt)
@@ -94,14 +100,28 @@ def points(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def copeland(edges: DataFrame, keys: tuple[str, ...] = ("pool_id", "n"), salt: str = "tie") -> DataFrame:
-    """The winner of each graph: most points, then the smallest salted digest. An incomplete graph raises."""
-    totals = points(edges, keys)
+    """The winner of each graph: most points, then the smallest salted digest. An incomplete graph raises.
+
+    A graph is complete if every node has met every other one once; edges, ties and abstentions are half the nodes' sums.
+    """
+    half = F.col("outcome").isin("tie", "abstain")
+    known = F.when(F.col("outcome").isin("left", "right", "tie", "abstain"), F.col("outcome")).otherwise(F.raise_error(F.lit("unknown outcome")).cast("string"))
+    side = lambda own, other, name: F.struct(F.col(own).alias("uid"), F.col(other).alias("met"), F.when(half, 0.5).when(known == name, 1.0).otherwise(0.0).alias("p"))
+    ends = edges.select(*keys, half.cast("int").alias("_t"), (F.col("outcome") == "abstain").cast("int").alias("_a"), F.explode(F.array(side("left_uid", "right_uid", "left"), side("right_uid", "left_uid", "right"))).alias("s"))
+    nodes = ends.groupBy(*keys, F.col("s.uid").alias("uid")).agg(F.sum("s.p").alias("points"), F.count("*").alias("_edges"), F.size(F.collect_set("s.met")).alias("_met"), F.sum("_t").alias("_t"), F.sum("_a").alias("_a"), F.count_if(F.col("s.met") == F.col("s.uid")).alias("_self"))
     order = F.struct((-F.col("points")).alias("p"), sha(F.lit(salt), "pool_id", "uid").alias("h"))
-    best = totals.groupBy(*keys).agg(F.min_by("uid", order).alias("selected_uid"), F.max("points").alias("top"), F.count("*").alias("_nodes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("uid", "points")))).alias("scores"))
+    out = nodes.groupBy(*keys).agg(
+        F.min_by("uid", order).alias("selected_uid"),
+        F.max("points").alias("top"),
+        F.count("*").alias("_nodes"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("uid", "points")))).alias("scores"),
+        *[(F.sum(c) / 2).cast("long").alias(name) for c, name in (("_edges", "n_pairs"), ("_t", "ties"), ("_a", "semantic_abstentions"))],
+        F.min("_met").alias("_least"),
+        F.max("_edges").alias("_most"),
+        F.sum("_self").alias("_self"),
+    )
     tied = F.size(F.filter(F.map_values("scores"), lambda v: v == F.col("top"))) > 1
-    counts = edges.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.count_if(F.col("outcome").isin("tie", "abstain")).alias("ties"), F.count_if(F.expr("outcome = 'abstain'")).alias("semantic_abstentions"), F.count_distinct(F.least("left_uid", "right_uid"), F.greatest("left_uid", "right_uid")).alias("_distinct"))
-    out = best.join(counts, list(keys))
-    whole = (F.col("_distinct") == F.col("n_pairs")) & (F.col("n_pairs") * 2 == F.col("_nodes") * (F.col("_nodes") - 1))
+    whole = (F.col("_least") == F.col("_nodes") - 1) & (F.col("_most") == F.col("_nodes") - 1) & (F.col("_self") == 0)
     selected = F.when(whole, F.col("selected_uid")).otherwise(F.raise_error(F.concat(F.lit("incomplete pair graph in pool "), F.col("pool_id"))).cast("string"))
     return out.select(*keys, selected.alias("selected_uid"), "scores", "n_pairs", "ties", "semantic_abstentions", tied.alias("tie_break_applied"))
 
@@ -135,7 +155,7 @@ def tournament(decided: DataFrame, keys: tuple[str, ...] = ("pool_id",), strict:
     triple only the chains a > b > c and c > b > a are tested for transitivity. strict counts a cycle only if no edge of it has
     its reverse.
     """
-    pools = decided.where("winner is not null").groupBy(*keys).agg(F.count("*").alias("n_edges"), F.collect_set(F.struct("winner", "loser")).alias("_beats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("winner", "loser"))))).alias("_nodes"))
+    pools = spread(decided.where("winner is not null"), keys).groupBy(*keys).agg(F.count("*").alias("n_edges"), F.collect_set(F.struct("winner", "loser")).alias("_beats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("winner", "loser"))))).alias("_nodes"))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
     place = lambda nodes, x: F.array_position(nodes, x) - 1
     union_of = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
@@ -201,7 +221,3 @@ def graph_problems(edges: DataFrame, n: int = 8, keys: tuple[str, ...] = ("pool_
     per = edges.groupBy(*keys).agg(F.count("*").alias("edges"), F.count_distinct(F.least("left_uid", "right_uid"), F.greatest("left_uid", "right_uid")).alias("pairs"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("left_uid", "right_uid"))))).alias("nodes"))
     want = n * (n - 1) // 2
     return per.where((F.col("edges") != want) | (F.col("pairs") != want) | (F.col("nodes") != n))
-
-
-def asked_pairs(pairs: DataFrame) -> Column:
-    return F.concat_ws("|", "pool_id", "left_uid", "right_uid")

@@ -10,6 +10,7 @@ from ..operators import integrity as I
 from ..operators import merging as G
 from ..operators import quality as Q
 from ..operators import ranking as R
+from ..operators import selecting
 from .catalog import long, query, rounded
 from .proxies import ORDER, SEQ, table
 
@@ -113,13 +114,13 @@ def field_presence(spark, d):
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority")
 def coverage_map(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
+    return selecting.coverage(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ("F", "O", "P"))
 
 
 @query("SELECT p_brand AS family, count(*) AS models FROM part WHERE p_size > 10 AND p_type <> 'ECONOMY' GROUP BY p_brand")
 def family_counts(spark, d):
     models = table(spark, d, "part").select(F.col("p_brand").alias("family"), (F.col("p_size") > 10).alias("fast_track_primary"), F.when(F.col("p_type") == "ECONOMY", "INCOMPATIBLE").otherwise("OK").alias("status"))
-    return models.where("fast_track_primary and status <> 'INCOMPATIBLE'").groupBy("family").agg(F.count("*").alias("models"))
+    return selecting.family_counts(models)
 
 
 @query("SELECT o_orderpriority AS factor, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"PASS\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"BORDERLINE\", CAST(0 AS BIGINT) AS \"FAIL\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"UNSCORED\" FROM orders GROUP BY 1")
@@ -134,7 +135,7 @@ def union_of_carriers(spark, d):
     factor = lambda c: F.when(F.col(c) == 0, "count").otherwise("other").alias("factor")
     static = table(spark, d, "customer").select(F.lit("static").alias("carrier"), F.col("c_custkey").cast("string").alias("item_id"), factor("c_nationkey")).where("factor <> 'count'")
     other = table(spark, d, "supplier").select(F.lit("downstream").alias("carrier"), F.col("s_suppkey").cast("string").alias("item_id"), factor("s_nationkey"), F.col("s_acctbal").alias("balance"))
-    return rounded(static.unionByName(other, allowMissingColumns=True))
+    return rounded(selecting.all_carriers(static, other))
 
 
 @query(f"""{CUST} SELECT c_nationkey, count(*) AS candidates FROM cu WHERE split = 'downstream' AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 10 = 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import building, integrity, metrics, pools, tables  # noqa: F401  (they enter their queries)
+from . import building, integrity, metrics, pools, rendered, tables  # noqa: F401  (they enter their queries)
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

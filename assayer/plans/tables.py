@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import judging, quality
+from ..operators import judging, quality, selecting
 from ..streaming import journals
 from .catalog import long, query, rounded
 from .proxies import table
@@ -182,9 +182,10 @@ def elapsed_bounds(spark, d):
 @query("""SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN 'tallyqa' ELSE 'gqa' END AS carrier FROM customer
 WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD') AND c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders) AND lower(c_mktsegment) <> lower(c_name) AND c_name <> ''""")
 def static_selection(spark, d):
-    rows = table(spark, d, "customer").where("c_mktsegment in ('BUILDING', 'HOUSEHOLD') and c_acctbal > 0").where((F.lower("c_mktsegment") != F.lower("c_name")) & (F.col("c_name") != ""))
+    rows = table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("factor"), F.col("c_mktsegment").alias("answer"), F.col("c_name").alias("hard_negative"), "c_nationkey")
     split = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return rows.join(split, "c_custkey", "left_semi").select("c_custkey", F.when(F.col("c_nationkey") == 0, "tallyqa").otherwise("gqa").alias("carrier"))
+    chosen = selecting.selected_static(rows, split, "c_custkey", ("BUILDING", "HOUSEHOLD"))
+    return chosen.select("c_custkey", selecting.carrier(F.when(F.col("c_nationkey") == 0, "count").otherwise("other")).alias("carrier"))
 
 
 @query("SELECT l_linestatus, count(*) AS rows, count(*) FILTER (WHERE isnan(x) OR x IS NULL) AS not_finite, bool_or(isnan(x) OR x IS NULL) AS void FROM (SELECT l_linestatus, CASE WHEN l_orderkey % 500 = 0 AND l_linestatus = 'O' THEN NULL ELSE l_tax END AS x FROM lineitem) GROUP BY l_linestatus")

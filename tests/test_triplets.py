@@ -111,3 +111,13 @@ def test_reconstruction_nulls(spark):
     b = spark.createDataFrame([("m", 1.0 + 1e-13, 2.0), ("n", None, 0.0)], "k string, x double, y double")
     got = {(r.k, r.metric): r.agrees for r in M.reconstruction(a, b, ["k"], ("x", "y")).collect()}
     assert got == {("m", "x"): True, ("m", "y"): False, ("n", "x"): True, ("n", "y"): False}
+
+
+def test_casefold_equals_pythons(spark):
+    from assayer.functions.expressions import casefold, normal
+
+    chars = [chr(i) for i in range(1, 0x1F000) if not 0xD800 <= i < 0xE000 and (chr(i).casefold() != chr(i) or i < 0x500)]
+    got = {r.c: r.f for r in spark.createDataFrame([(c,) for c in chars], "c string").select("c", casefold("c").alias("f")).collect()}
+    assert {c: f for c, f in got.items() if f != c.casefold()} == {}
+    words = ["Straße", "STRASSE", " ΟΔΟΣ", "οδος ", "İstanbul", "ısı", "ﬁne"]
+    assert [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(normal("w")).collect()] == [w.strip().casefold() for w in words]
