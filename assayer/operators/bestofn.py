@@ -143,68 +143,46 @@ def winners(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"winner": F.when(side == "left", F.col("left_uid")).when(side == "right", F.col("right_uid")), "loser": F.when(side == "left", F.col("right_uid")).when(side == "right", F.col("left_uid"))})
 
 
-def _bound(value: Column, body) -> Column:
-    """body of value, evaluated once: inside a lambda Catalyst would put the definition in place of a column's name."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def tournament(decided: DataFrame, keys: tuple[str, ...] = ("pool_id",), strict: bool = False) -> DataFrame:
     """Cycle triples, transitivity violations, Condorcet winners and the Copeland margin of each pool.
 
-    Nodes are the ends of decided edges, 63 at most, numbered in order; whom a node beats is one integer's bits. Of each sorted
-    triple only the chains a > b > c and c > b > a are tested for transitivity. strict counts a cycle only if no edge of it has
-    its reverse.
+    Nodes are the ends of decided edges, 63 at most, numbered in order; whom a node beats, and who beats it, are the bits of an
+    integer each, or-ed from edge rows. Pairs i < j of a pool are rows too, and bit arithmetic counts the triples with a third node
+    beyond them: all of it is compiled and stays in the partition of its pool. Of each sorted triple only the chains a > b > c and
+    c > b > a are tested for transitivity. strict counts a cycle only if no edge of it has its reverse.
     """
     pools = spread(decided.where("winner is not null"), keys).groupBy(*keys).agg(F.count("*").alias("n_edges"), F.collect_set(F.struct("winner", "loser")).alias("_beats"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("winner", "loser"))))).alias("_nodes"))
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
-    place = lambda nodes, x: F.array_position(nodes, x) - 1
-    union_of = lambda bits: F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-
-    def masks(edges: Column, nodes: Column, own: str, other: str) -> Column:
-        return F.transform(nodes, lambda n: union_of(F.transform(F.filter(edges, lambda e: e[own] == n), lambda e: bit(place(nodes, e[other])))))
-
-    def counted(out: Column, into: Column) -> Column:
-        """(cycles, violations) from the masks of whom each node beats and who beats it."""
-        alone = lambda xs, ys: F.zip_with(xs, ys, lambda x, y: x.bitwiseAND(F.bitwise_not(y))) if strict else xs
-        has = lambda x, i: F.call_function("shiftrightunsigned", x, i.cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-        last = F.size(out) - 1
-        pairs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.filter(F.sequence(F.lit(0), last), lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-        zero = F.lit(0).cast("long")
-
-        def cycles(own_out: Column, own_in: Column, p: Column) -> Column:
-            i, j = p["i"], p["j"]
-            round_ = F.when(has(own_out[i], j), own_out[j].bitwiseAND(own_in[i])).otherwise(zero)
-            other = F.when(has(own_out[j], i), own_in[j].bitwiseAND(own_out[i])).otherwise(zero)
-            return F.bit_count(round_.bitwiseOR(other).bitwiseAND(F.bitwise_not(bit(j + 1) - 1))).cast("long")
-
-        def broken(p: Column) -> Column:
-            i, j = p["i"], p["j"]
-            down = F.when(has(out[i], j), out[j].bitwiseAND(F.bitwise_not(out[i])).bitwiseAND(F.bitwise_not(bit(j + 1) - 1))).otherwise(zero)
-            up = F.when(has(out[j], i), out[i].bitwiseAND(F.bitwise_not(out[j])).bitwiseAND(bit(i) - 1)).otherwise(zero)
-            return (F.bit_count(down) + F.bit_count(up)).cast("long")
-
-        total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
-        both = lambda o: _bound(alone(into, out), lambda n: total(F.transform(pairs, lambda p: cycles(o, n, p))))
-        return F.struct(_bound(alone(out, into), both).alias("cycles"), total(F.transform(pairs, broken)).alias("broken"))
-
-    def facts(nodes: Column, edges: Column) -> Column:
-        out = lambda o: _bound(masks(edges, nodes, "loser", "winner"), lambda i: F.struct(counted(o, i).alias("c"), F.reverse(F.array_sort(F.transform(o, lambda x: F.bit_count(x)))).alias("wins")))
-        return _bound(masks(edges, nodes, "winner", "loser"), out)
-
     few = F.when(F.size("_nodes") <= 63, F.col("_nodes")).otherwise(F.raise_error(F.lit("a pool has more than 63 candidates")).cast("array<string>"))
-    rows = pools.select(*keys, "n_edges", F.size("_nodes").alias("n_nodes"), _bound(few, lambda n: _bound(F.col("_beats"), lambda e: facts(n, e))).alias("_f"))
-    condorcet = F.size(F.filter("_f.wins", lambda w: w == F.col("n_nodes") - 1))
+    edges = pools.select(*keys, "n_edges", few.alias("_nodes"), F.inline_outer("_beats"))
+    edges = edges.select(*keys, "n_edges", *[(F.array_position("_nodes", F.col(c)) - 1).cast("int").alias(c) for c in ("winner", "loser")])
+    bit = lambda i: F.expr(f"shiftleft(1L, {i})")
+    none = F.lit(0).cast("long")
+    ends = edges.select(*keys, "n_edges", F.inline(F.array(F.struct(F.col("winner").alias("at"), bit("loser").alias("out"), none.alias("into")), F.struct(F.col("loser").alias("at"), none.alias("out"), bit("winner").alias("into")))))
+    nodes = ends.groupBy(*keys, "n_edges", "at").agg(F.bit_or("out").alias("out"), F.bit_or("into").alias("into"))
+    graphs = nodes.groupBy(*keys, "n_edges").agg(F.sort_array(F.collect_list(F.struct("at", "out", "into"))).alias("g"))
+    n, wins = F.size("g"), F.reverse(F.array_sort(F.transform("g", lambda x: F.bit_count(x["out"]))))
+    graphs = graphs.select(*keys, "n_edges", n.alias("n_nodes"), wins.alias("wins"), "g")
+    pairs = graphs.select("*", F.explode(F.sequence(F.lit(0), n * n - 1)).alias("p")).select("*", F.expr("p div n_nodes").cast("int").alias("i"), F.expr("p % n_nodes").alias("j")).where("i < j OR p = 0")
+    pairs = pairs.select(*keys, "n_edges", "n_nodes", "wins", "i", "j", *[F.get("g", F.col(k))[c].alias(f"{c}_{k}") for k in "ij" for c in ("out", "into")])
+    own, met = (lambda k: f"(out_{k} & ~into_{k})", lambda k: f"(into_{k} & ~out_{k})") if strict else (lambda k: f"out_{k}", lambda k: f"into_{k}")
+    has = lambda x, k: f"((shiftrightunsigned({x}, {k}) & 1L) = 1L)"
+    beyond, before = "~(shiftleft(1L, j + 1) - 1L)", "(shiftleft(1L, i) - 1L)"
+    cycle = f"CASE WHEN i < j THEN bit_count(((CASE WHEN {has(own('i'), 'j')} THEN {own('j')} & {met('i')} ELSE 0L END) | (CASE WHEN {has(own('j'), 'i')} THEN {met('j')} & {own('i')} ELSE 0L END)) & {beyond}) ELSE 0 END"
+    down = f"CASE WHEN i < j AND {has('out_i', 'j')} THEN bit_count(out_j & ~out_i & {beyond}) ELSE 0 END"
+    up = f"CASE WHEN i < j AND {has('out_j', 'i')} THEN bit_count(out_i & ~out_j & {before}) ELSE 0 END"
+    rows = pairs.groupBy(*keys, "n_edges", "n_nodes", "wins").agg(F.sum(F.expr(cycle)).alias("cycles"), F.sum(F.expr(f"{down} + {up}")).alias("broken"))
+    condorcet = F.size(F.filter("wins", lambda w: w == F.col("n_nodes") - 1))
     n = F.col("n_nodes")
     return rows.select(
         *keys,
         "n_nodes",
         "n_edges",
         (n * (n - 1) * (n - 2) / 6).cast("int").alias("n_triples"),
-        F.col("_f.c.cycles").alias("n_cycle_triples"),
-        F.col("_f.c.broken").alias("n_transitivity_violations"),
+        F.col("cycles").alias("n_cycle_triples"),
+        F.col("broken").alias("n_transitivity_violations"),
         (condorcet == 1).alias("has_condorcet"),
         condorcet.alias("n_condorcet"),
-        (F.get("_f.wins", F.lit(0)) - F.get("_f.wins", F.lit(1))).alias("copeland_margin"),
+        (F.get("wins", F.lit(0)) - F.get("wins", F.lit(1))).alias("copeland_margin"),
     )
 
 
