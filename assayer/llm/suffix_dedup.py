@@ -366,3 +366,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir), keep_text=False).drop("kept")
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+c AS (SELECT doc_id, p, substr(h, 2 * p + 1, 498) AS part FROM (SELECT doc_id, h, unnest(range(0, n - 49, 200)) AS p FROM d WHERE n >= 50)),
+w AS (SELECT doc_id, p + i AS i, substr(part, 2 * i + 1, 100) AS s FROM (SELECT doc_id, p, part, unnest(range(least(200, strlen(part) // 2 - 49))) AS i FROM c)),
+first AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+gone AS (SELECT w.doc_id, w.i FROM w JOIN first f ON f.s = w.s WHERE f.least < w.doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM gone),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT r.doc_id, r.a, r.b, coalesce(lag(r.b) OVER (PARTITION BY r.doc_id ORDER BY r.a), 0) AS before FROM runs r),
+kept AS (SELECT g.doc_id, sum(g.b - g.a) AS n_removed, count(*) AS n_spans, string_agg(substr(d.h, 2 * g.before + 1, 2 * (g.a - g.before)), '' ORDER BY g.a) || substr(any_value(d.h), 2 * max(g.b) + 1) AS k FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
