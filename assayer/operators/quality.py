@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions.expressions import compact, projected_radius, relation_holds, sha, status_of
 from ..schemas import VARIANTS
+from ..sources.writers import shared_folder
 
 # Pixels from the edge, least projected radius, and distance over the smaller radius.
 EDGE, LEAST_RADIUS, OVERLAP = 8.0, 6.0, 0.55
@@ -244,17 +244,18 @@ def greedy_repair(downstream: DataFrame, static: DataFrame, audit: DataFrame, po
     group, move on by one. When nobody loses, this is what a choice one by one gives. Ranks are windows over factor and carrier.
     """
     group = ("factor", "carrier")
+    shared_folder(downstream.sparkSession)
     conflicts = downstream.join(static.select("image").distinct(), "image", "left_semi")
     kept = downstream.join(static.select("image"), "image", "left_anti")
     free = eligible_replacements(pool, "image", static, audit, kept).withColumn("_key", sha(F.lit(salt), "item_id", "image"))
     free = free.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "image").orderBy("_key"))).where("_n = 1")
-    free = free.select(*group, F.col("item_id").alias("replacement_id"), F.col("image").alias("_image"), F.row_number().over(Window.partitionBy(*group).orderBy("_key")).alias("_rank")).persist(StorageLevel.DISK_ONLY)
+    free = free.select(*group, F.col("item_id").alias("replacement_id"), F.col("image").alias("_image"), F.row_number().over(Window.partitionBy(*group).orderBy("_key")).alias("_rank")).checkpoint()
     order = ("item_id", "image", *group)
     state = conflicts.select(*order, F.row_number().over(Window.partitionBy(*group).orderBy("item_id", "image")).alias("_k")).withColumn("_rank", F.col("_k"))
     while True:
         placed = state.join(free, [*group, "_rank"], "left")
         before = F.row_number().over(Window.partitionBy("_image").orderBy(*order, "_k"))
-        placed = placed.withColumn("_lost", (F.col("_image").isNotNull() & (before > 1)).cast("int")).persist(StorageLevel.DISK_ONLY)
+        placed = placed.withColumn("_lost", (F.col("_image").isNotNull() & (before > 1)).cast("int")).checkpoint()
         for row in placed.where("_image is null").select(*group).limit(1).collect():
             raise ValueError(f"no replacement left for {row['factor']}/{row['carrier']}")
         if placed.where("_lost = 1").isEmpty():

@@ -5,10 +5,11 @@ Every order is explicit; where a file's order matters the caller passes a sequen
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.writers import shared_folder
+
 
 def first_per_group(df: DataFrame, by: list[str], order: list[str | Column], n: int, whole_groups_only: bool = False) -> DataFrame:
     """The first n rows of each group; with whole_groups_only, none of a group that has fewer."""
@@ -55,7 +56,8 @@ def shard(df: DataFrame, order: list[str | Column], shards: int, k: int) -> Data
     Rows are dealt out by range; a range counts its own rows and starts after those of the ranges before it, which are a row each.
     """
     first = order[0] if isinstance(order[0], Column) else F.col(order[0])
-    ranged = df.repartitionByRange(first).withColumn("_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    shared_folder(df.sparkSession)
+    ranged = df.repartitionByRange(first).withColumn("_range", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")

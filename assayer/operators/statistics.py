@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,36 +147,51 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, st
     return df.select(*by, F.col(cluster).cast("string").alias(cluster), F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(draw, schema)
 
 
-def paired_bootstrap(pairs: DataFrame, by: list[str], left: str, right: str, n_boot: int = 10_000, seed: int = 20270915) -> DataFrame:
+#: Distinct differences that one task resamples together, and replicates that one row asks for.
+BLOCK_VALUES, CHUNK_REPLICATES = 1 << 16, 500
+
+
+def paired_bootstrap(pairs: DataFrame, by: list[str], left: str, right: str, n_boot: int = 10_000, seed: int = 20270915, block_values: int = BLOCK_VALUES) -> DataFrame:
     """Mean difference over shared items, in percentage points, with a percentile interval from resampled items.
 
-    Equal differences are counted first. A resample of n items is a multinomial draw over those counts; the replicates are
-    rows, each with the generator of its number. Right and wrong answers have three differences, however many items there are.
+    Equal differences are counted first. A resample of n items is a multinomial draw over those counts, each with the generator of
+    its number. Right and wrong answers have three differences, however many items there are. Where there are many, they are dealt
+    into blocks: how many items a block gets is a multinomial draw over the blocks, the same in every task, and the block draws its
+    own from that; so no task holds all differences and nothing is broadcast.
     """
     d = ((F.col(left).cast("double") - F.col(right).cast("double")) * 100).alias("_d")
     each = pairs.select(*by, d).groupBy(*by, "_d").agg(F.count("*").alias("_n"))
-    values = F.sort_array(F.collect_list(F.struct(F.coalesce("_d", F.lit(math.nan)).alias("d"), F.col("_n").alias("n"))))
-    counts = each.groupBy(*by).agg(values.alias("_v")).select(*by, F.col("_v.d").alias("_d"), F.col("_v.n").alias("_n"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            means = []
-            for d, n, i in zip(pdf["_d"], pdf["_n"], pdf["id"], strict=True):
-                d, n = np.asarray(d, float), np.asarray(n, np.int64)
-                drawn = np.random.default_rng([seed, i]).multinomial(n.sum(), n / n.sum())
-                means.append((d * drawn)[drawn > 0].sum() / n.sum())
-            yield pdf.drop(columns=["_n", "id"]).assign(_d=means)
-
-    spark = pairs.sparkSession
-    replicates = spark.range(n_boot).repartition(spark.sparkContext.defaultParallelism).crossJoin(F.broadcast(counts))
-    schema = ", ".join([*[f"{b} {pairs.schema[b].dataType.simpleString()}" for b in by], "_d double"])
-    means = replicates.select(*by, "_d", "_n", "id").mapInPandas(draw, schema).groupBy(*by).agg(F.sort_array(F.collect_list("_d")).alias("_m"))
-    total = F.aggregate("_n", F.lit(0).cast("long"), lambda x, y: x + y)
-    whole = F.aggregate(F.zip_with("_d", "_n", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
-    observed = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by], total.alias("n_items"), (whole / total).alias("difference_pp"))
-    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+    n_blocks = max(1, -(-each.count() // block_values))
+    group = F.struct(*by).alias("_by") if by else F.lit(0).alias("_by")
+    dealt = each.select(group, F.pmod(F.xxhash64("_d"), F.lit(n_blocks)).cast("int").alias("_b"), F.coalesce("_d", F.lit(math.nan)).alias("d"), F.col("_n").alias("n"))
+    blocks = dealt.groupBy("_by", "_b").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("v"), F.sum("n").alias("_n"), F.sum(F.col("d") * F.col("n")).alias("_s"))
+    totals = blocks.groupBy("_by").agg(F.sort_array(F.collect_list(F.struct("_b", "_n"))).alias("all"), F.sum("_n").alias("n_items"), (F.sum("_s") / F.sum("_n")).alias("difference_pp"))
+    asked = blocks.join(totals.select("_by", "all"), "_by").select("_by", "_b", F.col("v.d").alias("d"), F.col("v.n").alias("n"), F.col("all._b").alias("bs"), F.col("all._n").alias("ns"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(CHUNK_REPLICATES))).alias("first"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                b, d, n, bs, ns, first = (batch.column(i)[row].as_py() for i in range(1, 7))
+                d, n, ns = np.asarray(d, float), np.asarray(n, np.int64), np.asarray(ns, np.int64)
+                own, sums = bs.index(b), []
+                numbers = range(first, min(n_boot, first + CHUNK_REPLICATES))
+                for i in numbers:
+                    generator = np.random.default_rng([seed, i])
+                    size = n.sum()
+                    if len(bs) > 1:
+                        size = generator.multinomial(ns.sum(), ns / ns.sum())[own]
+                        generator = np.random.default_rng([seed, i, b])
+                    drawn = generator.multinomial(size, n / n.sum())
+                    sums.append((d * drawn)[drawn > 0].sum())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([row] * len(sums))), pa.array(list(numbers), pa.int32()), pa.array(sums, pa.float64())], names=["_by", "i", "s"])
+
+    spread = asked.repartition(asked.sparkSession.sparkContext.defaultParallelism)
+    drawn = spread.mapInArrow(draw, f"_by {dealt.schema['_by'].dataType.simpleString()}, i int, s double")
+    sums = drawn.groupBy("_by", "i").agg(F.sum("s").alias("s")).join(totals.select("_by", "n_items"), "_by")
+    means = sums.groupBy("_by").agg(F.sort_array(F.collect_list(F.col("s") / F.col("n_items"))).alias("_m"))
     at = lambda q: F.element_at("_m", int(q * n_boot) + 1)
-    return means.join(observed, same).select(*by, "n_items", "difference_pp", at(0.025).alias("low"), at(0.975).alias("high"))
+    names = [F.col(f"_by.{b}").alias(b) for b in by]
+    return means.join(totals, "_by").select(*names, "n_items", "difference_pp", at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def analyze_factors(table: DataFrame, n_boot: int = 1000, seed: int = 20260912, strict: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import judging, quality, selecting
+from ..sources import readers
 from ..streaming import journals
 from .catalog import long, query, rounded
 from .proxies import table
@@ -278,3 +279,12 @@ def generated_variants(spark, d):
 def generated_validation(spark, d):
     report = quality.checked_triplets(generated(spark))
     return quality.validation(report, {"status is PASS": F.col("status") == "PASS", "no FAIL flag": ~F.exists("flags", lambda f: f.startswith("FAIL:"))}).select("rule", *long("n", "failures"), "ok")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS preferred, CASE c_custkey % 3 WHEN 0 THEN c_custkey || '.jpg' WHEN 1 THEN c_custkey || '.jpg' ELSE c_name || '.png' END AS file FROM customer""")
+def letters_and_files(spark, d):
+    """The letter of the candidate that is the answer, and the file that an image's id or path names."""
+    k = F.col("c_custkey")
+    image = F.when(k % 3 == 0, F.concat(F.lit("vg:"), k.cast("string"))).when(k % 3 == 1, k.cast("string")).otherwise(F.concat(F.lit("images/"), F.col("c_name"), F.lit(".png")))
+    rows = table(spark, d, "customer").select("c_custkey", image.alias("image"), F.when(k % 2 == 0, F.col("c_name")).otherwise(F.col("c_mktsegment")).alias("answer"), F.col("c_name").alias("a"), F.col("c_mktsegment").alias("b"))
+    return rows.select("c_custkey", X.preferred_for("a", "b", "answer").alias("preferred"), readers.raw_filename("image").alias("file"))

@@ -94,3 +94,17 @@ def test_paired_bootstrap_draws_from_counts(spark):
         means = np.sort([d[source.integers(0, 400, 400)].mean() for _ in range(2000)])
         assert got[f].n_items == 400 and np.isclose(got[f].difference_pp, d.mean())
         assert abs(got[f].low - means[50]) < 1.2 and abs(got[f].high - means[1950]) < 1.2
+
+
+def test_paired_bootstrap_over_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f, float(x), float(y)) for f in ("a", "b") for x, y in rng.normal(0, 1, (300, 2))]
+    df = spark.createDataFrame([*rows, ("a", 1.0, 1.0)], "factor string, x double, y double")
+    whole = {r.factor: r for r in S.paired_bootstrap(df, ["factor"], "x", "y", 1200).collect()}
+    dealt = {r.factor: r for r in S.paired_bootstrap(df, ["factor"], "x", "y", 1200, block_values=70).collect()}
+    for f, r in dealt.items():
+        own = np.array([(x - y) * 100 for g, x, y in [*rows, ("a", 1.0, 1.0)] if g == f])
+        assert r.n_items == len(own) and abs(r.difference_pp - own.mean()) < 1e-9
+        spread = own.std() / np.sqrt(len(own))
+        for low, high in ((r.low, r.high), (whole[f].low, whole[f].high)):
+            assert abs((own.mean() - low) / spread - 1.96) < 0.25 and abs((high - own.mean()) / spread - 1.96) < 0.25
