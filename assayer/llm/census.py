@@ -35,10 +35,11 @@ def bucket(hashes: np.ndarray, groups: int) -> np.ndarray:
 
 def sent(g: int, values: np.ndarray, counts: np.ndarray, groups: int) -> pa.Table:
     """Rows for a group's distinct short hashes, sorted, with the number of its documents that hold each."""
-    b = bits(groups)
-    edges = np.searchsorted(values, np.arange((1 << b) + 1, dtype=np.uint64) << np.uint64(32))
+    which = (values >> np.uint64(32)).astype(np.int64)
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(which) != 0))) if len(which) else which
     low, capped = values.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
-    rows = [(g, k, low[i:j].tobytes(), capped[i:j].tobytes()) for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if i < j]
+    # Only buckets that the group has hashes for: its time doesn't depend on how many there are.
+    rows = [(g, k, low[i:j].tobytes(), capped[i:j].tobytes()) for k, i, j in zip(which[firsts].tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(which)][: len(firsts)], strict=True)]
     types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["g", "bucket", "found", "counts"])
 
