@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd

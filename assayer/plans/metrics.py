@@ -272,6 +272,19 @@ def simple_regression(spark, d):
     return rounded(out.withColumn("adjusted_r2", S.adjusted_r2(F.col("r2"), F.col("n"), 1)))
 
 
+@query(f"""{MG}, r AS (SELECT factor, corr(PFC, A) AS r1, corr(PFC, PSC) AS r2, corr(A, PSC) AS r12, var_pop(PFC) AS v FROM mg GROUP BY factor),
+f AS (SELECT factor, v, r1 * r1 AS small, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS large FROM r)
+SELECT factor, round(large - small, 6) AS delta_r2, round(sqrt(v * (1 - small)) - sqrt(v * (1 - large)), 6) AS delta_rmse FROM f""")
+def nested_gains(spark, d):
+    return rounded(S.nested_gains(merged(spark, d), ["factor"], "PFC", ("A",), ("A", "PSC")).select("factor", "delta_r2", "delta_rmse"))
+
+
+@query(f"""{MG} SELECT CASE model_id WHEN 'm0' THEN 'decoder' WHEN 'm5' THEN 'decoder' ELSE 'f' || CAST(CAST(substr(model_id, 2) AS INT) // 2 AS VARCHAR) END AS family, factor, count(*) AS models, round(avg(A), 6) AS A FROM mg GROUP BY ALL""")
+def regrouped_families(spark, d):
+    own = S.regrouped(merged(spark, d).join(families(spark), "model_id"), {"m0": "decoder", "m5": "decoder"})
+    return rounded(own.groupBy("family", "factor").agg(F.count("*").alias("models"), F.avg("A").alias("A")))
+
+
 @query(f"{MG} SELECT model_id, factor, round((PFC - avg(PFC) OVER w) / CASE WHEN stddev_pop(PFC) OVER w > 0 THEN stddev_pop(PFC) OVER w ELSE 1 END, 6) AS z FROM mg WINDOW w AS (PARTITION BY factor)")
 def column_z_scores(spark, d):
     return rounded(merged(spark, d).select("model_id", "factor", R.z_score("PFC", ["factor"]).alias("z")))
