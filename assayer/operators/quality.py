@@ -264,8 +264,9 @@ def greedy_repair(downstream: DataFrame, static: DataFrame, audit: DataFrame, po
         state = placed.select(*order, "_k", (F.col("_k") + F.max(F.col("_rank") + F.col("_lost") - F.col("_k")).over(ahead)).alias("_rank"))
 
 
-def generated_specs(spark: SparkSession, factor: str, n: int, seed: int = 20260912) -> DataFrame:
-    """n triplet specifications of a factor from a seeded generator: half of them prefer A at the base.
+def generated_specs(spark: SparkSession, factor: str, ids: int | DataFrame, seed: int = 20260912) -> DataFrame:
+    """A triplet specification of a factor for each id, a number from 0 or the rows' column id, from a seeded generator: those of
+    even ids prefer A at the base.
 
     Count adds a target or another object, attribute recolours the target or its match, presence removes one of them, and
     spatial moves the referent or a distractor by the same distance.
@@ -297,7 +298,8 @@ def generated_specs(spark: SparkSession, factor: str, n: int, seed: int = 202609
                 rows.append({"triplet_id": f"{factor}-{i:06d}", "factor": factor, "candidate_a": "yes", "candidate_b": "no", "target_shape": shape, "target_color": color, "color_to": other, "left_vector": [-1.0, 0.0, 0.0], "right_vector": [1.0, 0.0, 0.0], "base": scene(letter, base), "relevant": scene(flipped, edits[0]), "irrelevant": scene(letter, edits[1])})
             yield pd.DataFrame(rows)
 
-    return spark.range(n).mapInPandas(make, TRIPLETS)
+    rows = spark.range(ids) if isinstance(ids, int) else ids.select(F.col("id").cast("long").alias("id"))
+    return rows.mapInPandas(make, TRIPLETS)
 
 
 def validation(report: DataFrame, rules: dict[str, Column]) -> DataFrame:

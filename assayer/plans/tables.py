@@ -258,26 +258,32 @@ def judged_items(spark, d):
     return judging.run_items(items, _Scripted).select("item_id", "status", "parsed_preference")
 
 
-def generated(spark: SparkSession, n: int = 60) -> DataFrame:
-    out = quality.generated_specs(spark, "count", n)
-    for factor in ("attribute", "presence", "spatial"):
-        out = out.union(quality.generated_specs(spark, factor, n))
-    return out
+FACTOR = ("count", "attribute", "presence", "spatial")
+G = "g AS (SELECT p_partkey AS i, ['count', 'attribute', 'presence', 'spatial'][CAST((p_partkey // 2) % 4 AS INT) + 1] AS factor FROM part), t AS (SELECT *, factor || '-' || lpad(CAST(i AS VARCHAR), 6, '0') AS triplet_id FROM g)"
 
 
-@query()
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    """A generated triplet for every part, two parts in a row of each factor in turn."""
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.floor(F.col("p_partkey") / 2) % 4).alias("kind"))
+    made = [quality.generated_specs(spark, factor, ids.where(F.col("kind") == k)) for k, factor in enumerate(FACTOR)]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
+
+
+@query(f"WITH {G} SELECT triplet_id, factor, '' AS flags, 'PASS' AS status FROM t")
 def generated_triplets_checked(spark, d):
-    return quality.checked_triplets(generated(spark)).select("triplet_id", "factor", F.array_join("flags", " | ").alias("flags"), "status")
+    return quality.checked_triplets(generated(spark, d)).select("triplet_id", "factor", F.array_join("flags", " | ").alias("flags"), "status")
 
 
-@query()
+@query(f"""WITH {G} SELECT triplet_id || ':' || v AS item_id, triplet_id, factor, v AS variant, CASE WHEN (i % 2 = 0) = (v <> 'relevant') THEN 'A' ELSE 'B' END AS expected_preference,
+  CAST(CASE factor WHEN 'count' THEN CASE v WHEN 'base' THEN 2 ELSE 3 END WHEN 'attribute' THEN 2 WHEN 'presence' THEN CASE v WHEN 'base' THEN 2 ELSE 1 END ELSE 3 END AS INTEGER) AS n_objects
+FROM t, (SELECT unnest(['base', 'relevant', 'irrelevant']) AS v)""")
 def generated_variants(spark, d):
-    return quality.variant_rows(generated(spark)).select("item_id", "triplet_id", "factor", "variant", "expected_preference", F.size("objects").alias("n_objects"))
+    return quality.variant_rows(generated(spark, d)).select("item_id", "triplet_id", "factor", "variant", "expected_preference", F.size("objects").alias("n_objects"))
 
 
-@query()
+@query("SELECT unnest(['status is PASS', 'no FAIL flag']) AS rule, count(*) AS n, CAST(0 AS BIGINT) AS failures, true AS ok FROM part")
 def generated_validation(spark, d):
-    report = quality.checked_triplets(generated(spark))
+    report = quality.checked_triplets(generated(spark, d))
     return quality.validation(report, {"status is PASS": F.col("status") == "PASS", "no FAIL flag": ~F.exists("flags", lambda f: f.startswith("FAIL:"))}).select("rule", *long("n", "failures"), "ok")
 
 
