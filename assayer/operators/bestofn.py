@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import candidate_uid, first_filled, normal, oriented, pair_outcome, preference, score_outcome, sha
+from .merging import growing
 
 SIZES = (2, 4, 8)
 
@@ -81,11 +82,11 @@ def scalar_graph(cands: DataFrame, score: str = "score", salt: str = "orientatio
     return edges.withColumns({"outcome": outcome, "level": F.greatest("left_level", "right_level"), "status": F.lit("ok")})
 
 
-def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges of each nested subset: both ends must be members."""
-    ends = members.select("pool_id", "n", "uid")
-    left = edges.join(ends.withColumnRenamed("uid", "left_uid"), ["pool_id", "left_uid"])
-    return left.join(ends.withColumnRenamed("uid", "right_uid"), ["pool_id", "n", "right_uid"])
+def induced_edges(edges: DataFrame, members: DataFrame, keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
+    """Edges of each nested subset: both ends must be members. A subset is one row, so the edges are dealt out once, by pool."""
+    ends = members.groupBy(*keys, "n").agg(F.collect_set("uid").alias("_in"))
+    both = F.array_contains("_in", F.col("left_uid")) & F.array_contains("_in", F.col("right_uid"))
+    return edges.join(growing(ends), list(keys)).where(both).drop("_in")
 
 
 def points(edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -133,7 +134,7 @@ def selections(cands: DataFrame, graph: DataFrame, keys: tuple[str, ...] = ("poo
     """
     edges = graph.withColumn("n", F.explode(F.array(*[F.lit(n) for n in SIZES]))).where("n >= level")
     gold = cands.where("is_gold").select(*keys, F.col("uid").alias("gold_uid"))
-    return copeland(edges, (*keys, "n"), salt).join(gold, list(keys)).withColumn("success", F.col("selected_uid") == F.col("gold_uid"))
+    return copeland(edges, (*keys, "n"), salt).join(growing(gold), list(keys)).withColumn("success", F.col("selected_uid") == F.col("gold_uid"))
 
 
 def winners(pairs: DataFrame) -> DataFrame:

@@ -38,9 +38,16 @@ def conflicts(shards: DataFrame, order: list[str | Column], model: str = "model_
     return shards.withColumn("_d", differs).groupBy(model, item).agg(F.count_if(F.expr("_d")).alias("conflicts")).where("conflicts > 0")
 
 
-def remaining(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
+def growing(df: DataFrame) -> DataFrame:
+    """df for a side of a join that has as many rows as the data. Spark guesses sizes from files, and rows that are made of a
+    file's can be many times that; the hint keeps such a side from being collected on the driver and broadcast."""
+    return df.hint("merge")
+
+
+def remaining(items: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
     """Items still to do: not completed, and of repeated ids one."""
-    return items.dropDuplicates([key]).join(done.select(key), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    return items.dropDuplicates(keys).join(growing(done.select(*keys)), keys, "left_anti")
 
 
 def completed_pools(selections: DataFrame, sizes: tuple[int, ...] = (2, 4, 8)) -> DataFrame:

@@ -40,10 +40,9 @@ def scalar_pair_graph(spark, d):
 
 @query(f"{WITH} SELECT model_id, pool_id, n, count(*) AS edges FROM en GROUP BY ALL")
 def induced_edges(spark, d):
-    cands, edges = levels(spark, d), graph(spark, d)
-    named = lambda df: df.withColumn("pool_id", F.concat_ws("/", "model_id", "pool_id"))
-    out = B.induced_edges(named(edges), B.subsets(named(cands))).groupBy("model_id", "pool_id", "n").agg(F.count("*").alias("edges"))
-    return out.select("model_id", F.substring_index("pool_id", "/", -1).alias("pool_id"), "n", "edges")
+    cands = levels(spark, d)
+    edges = B.scalar_graph(cands, keys=KEYS)
+    return B.induced_edges(edges, B.subsets(cands), KEYS).groupBy(*KEYS, "n").agg(F.count("*").alias("edges"))
 
 
 @query(f"{WITH} SELECT model_id, pool_id, uid, CAST(points AS DOUBLE) AS points FROM pt WHERE n = 8")

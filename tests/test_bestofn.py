@@ -114,3 +114,12 @@ def test_winners_and_reciprocal_orders(spark):
 def test_schemas_parse(spark):
     for schema in SCHEMAS.values():
         assert spark.createDataFrame([], schema).count() == 0
+
+
+@pytest.mark.parametrize("name", ["induced_edges", "pairs_still_to_ask", "judged_graphs", "scored_graphs"])
+def test_no_side_of_a_graphs_joins_is_broadcast(spark, name):
+    """Rows of pools are many times those of the file that Spark judges their size by."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
