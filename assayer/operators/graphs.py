@@ -15,6 +15,7 @@ from ..functions.expressions import pair_outcome
 from ..sources.readers import exists
 from . import bestofn
 from .judging import Judge, ScalarJudge, run_items, run_scores
+from .merging import growing
 
 ENDS = ("left_uid", "right_uid")
 
@@ -68,7 +69,7 @@ def _failures(rows: DataFrame, value: str, order: tuple[str, ...], keys: tuple[s
 
 
 def _selected(cands: DataFrame, graph: DataFrame, failed: DataFrame, keys: tuple[str, ...], salt: str) -> DataFrame:
-    whole = graph.join(failed.select(*keys), list(keys), "left_anti")
+    whole = graph.join(growing(failed.select(*keys)), list(keys), "left_anti")
     chosen = bestofn.selections(cands, whole, keys, salt)
     chosen = chosen.select(*keys, "n", "selected_uid", "gold_uid", "success", "n_pairs", "ties", "semantic_abstentions", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("message"))
     return chosen.unionByName(failed, allowMissingColumns=True)
@@ -80,17 +81,17 @@ def candidate_scores(cands: DataFrame, make: Callable[[], ScalarJudge], journal:
     spark, on = cands.sparkSession, [*keys, "uid"]
     todo = cands.select(*on, "question", F.col("text").alias("candidate"), "image_path").dropDuplicates(on)
     if exists(spark, journal):
-        todo = todo.join(spark.read.parquet(journal).where("score IS NOT NULL").select(*on), on, "left_anti")
+        todo = todo.join(growing(spark.read.parquet(journal).where("score IS NOT NULL").select(*on)), on, "left_anti")
     rows = run_scores(todo.select(F.to_json(F.struct(*on)).alias("item_id"), "question", "candidate", "image_path"), make)
     rows = rows.select(F.from_json("item_id", cands.select(*on).schema).alias("e"), "score", "status", "message").select("e.*", "score", "status", "message")
     rows.write.mode("append").parquet(journal)
     best = spark.read.parquet(journal).groupBy(*on).agg(F.min_by(F.struct("score", "status", "message"), F.struct(F.col("score").isNull(), "status")).alias("r"))
-    return cands.drop("score", "status", "message").join(best.select(*on, "r.*"), on)
+    return cands.drop("score", "status", "message").join(growing(best.select(*on, "r.*")), on)
 
 
 def score_pools(cands: DataFrame, make: Callable[[], ScalarJudge], journal: str, keys: tuple[str, ...] = ("pool_id",), salts: tuple[str, str] = ("orientation", "tie")) -> DataFrame:
     """As run_pools, by a judge that scores candidates: 8 calls for a pool of 8 instead of 28, pairs come from a join."""
     scored = candidate_scores(cands, make, journal, keys)
     failed = _failures(scored, "score", ("uid",), keys)
-    graph = bestofn.scalar_graph(scored.join(failed.select(*keys), list(keys), "left_anti"), salt=salts[0], keys=keys)
+    graph = bestofn.scalar_graph(scored.join(growing(failed.select(*keys)), list(keys), "left_anti"), salt=salts[0], keys=keys)
     return _selected(cands, graph, failed, keys, salts[1])
