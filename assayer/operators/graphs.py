@@ -23,7 +23,7 @@ ENDS = ("left_uid", "right_uid")
 def missing_edges(pairs: DataFrame, answered: DataFrame | None, keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
     """Pairs without an outcome so far."""
     on = [*keys, *ENDS]
-    return pairs if answered is None else pairs.join(answered.where("outcome is not null").select(*on), on, "left_anti")
+    return pairs if answered is None else pairs.join(growing(answered.where("outcome is not null").select(*on)), on, "left_anti")
 
 
 def asked(pairs: DataFrame, make: Callable[[], Judge], keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
@@ -49,7 +49,7 @@ def pairwise_graph(pairs: DataFrame, make: Callable[[], Judge], journal: str, ke
     answers = spark.read.parquet(journal)
     # A failed call may have been repeated: of several rows of an edge the one with an outcome counts.
     best = answers.groupBy(*keys, *ENDS).agg(F.min_by(F.struct("outcome", "status", "message"), F.struct(F.col("outcome").isNull(), "status")).alias("r"))
-    return pairs.join(best.select(*keys, *ENDS, "r.*"), [*keys, *ENDS])
+    return pairs.join(growing(best.select(*keys, *ENDS, "r.*")), [*keys, *ENDS])
 
 
 def run_pools(cands: DataFrame, make: Callable[[], Judge], journal: str, keys: tuple[str, ...] = ("pool_id",), salts: tuple[str, str] = ("orientation", "tie")) -> DataFrame:
@@ -58,7 +58,7 @@ def run_pools(cands: DataFrame, make: Callable[[], Judge], journal: str, keys: t
     cands has keys, uid, text, is_gold, level, question and image_path; question and image_path are those of the pool.
     """
     own = cands.groupBy(*keys).agg(F.first("question").alias("question"), F.first("image_path").alias("image_path"))
-    pairs = bestofn.pool_pairs(cands, ("text", "level"), salts[0], keys).join(own, list(keys))
+    pairs = bestofn.pool_pairs(cands, ("text", "level"), salts[0], keys).join(growing(own), list(keys))
     graph = pairwise_graph(pairs.withColumn("level", F.greatest("left_level", "right_level")), make, journal, keys)
     return _selected(cands, graph, _failures(graph, "outcome", ENDS, keys), keys, salts[1])
 
