@@ -63,14 +63,16 @@ def spread(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def pool_pairs(cands: DataFrame, extra: tuple[str, ...] = (), salt: str = "orientation", keys: tuple[str, ...] = ("pool_id",)) -> DataFrame:
-    """Every unordered pair of a pool, oriented by a salted digest: left_uid, right_uid, and extra columns of both sides."""
+    """Every unordered pair of a pool, oriented by a salted digest: left_uid, right_uid, and extra columns of both sides.
+
+    The digest is taken before the pairs become rows: after that, each column that asks which end is left would take it anew.
+    """
     fields = ("uid", *extra)
     pools = spread(cands, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_c"))
-    later = lambda a, i: F.transform(F.slice("_c", i + 2, F.size("_c")), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    later = lambda a, i: F.transform(F.slice("_c", i + 2, F.size("_c")), lambda b: F.struct(a.alias("a"), b.alias("b"), oriented("pool_id", a["uid"], b["uid"], salt)[0].alias("left")))
     rows = pools.select(*keys, F.explode(F.flatten(F.transform("_c", later))).alias("p"))
-    left, right = oriented("pool_id", F.col("p.a.uid"), F.col("p.b.uid"), salt)
-    rows = rows.withColumns({"left_uid": left, "right_uid": right})
-    first = F.col("left_uid") == F.col("p.a.uid")
+    first = F.col("p.left") == F.col("p.a.uid")
+    rows = rows.withColumns({"left_uid": F.col("p.left"), "right_uid": F.coalesce(F.when(first, F.col("p.b.uid")).otherwise(F.col("p.a.uid")), F.col("p.left"))})
     pick = lambda f, side: F.when(first == F.lit(side == "left"), F.col(f"p.a.{f}")).otherwise(F.col(f"p.b.{f}")).alias(f"{side}_{f}")
     return rows.select(*keys, "left_uid", "right_uid", *[pick(f, side) for f in extra for side in ("left", "right")])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import bestofn as B
-from ..operators import merging, ranking
+from ..operators import graphs, merging, ranking
 from ..operators import triplets as T
 from .catalog import long, query, rounded
 from .proxies import CANDS, pool_candidates
@@ -96,7 +96,10 @@ SELECT model_id, pool_id, n_nodes, n_edges, coalesce(n_triples, 0) AS n_triples,
 
 def decided(spark: SparkSession, d: str, turned: bool = False) -> DataFrame:
     """Decided edges of all graphs; turned adds the second asking of some pairs, with the other winner."""
-    edges = B.winners(graph(spark, d).withColumn("parsed_preference", F.lit(None).cast("string")))
+    # Winners need no subsets, and edges that are dealt by KEYS stay where they are for the tournament.
+    pairs = B.pool_pairs(pool_candidates(spark, d), ("score",), keys=KEYS)
+    answered = {"outcome": X.score_outcome(F.col("left_score"), F.col("right_score")), "status": F.lit("ok"), "parsed_preference": F.lit(None).cast("string")}
+    edges = B.winners(pairs.withColumns(answered)).select(*KEYS, "left_uid", "right_uid", "left_score", "right_score", "winner", "loser")
     if not turned:
         return edges
     again = edges.where(TURNED.replace("BIGINT", "LONG")).withColumns({"left_uid": F.col("right_uid"), "right_uid": F.col("left_uid"), "winner": F.col("loser"), "loser": F.col("winner")})
@@ -143,8 +146,8 @@ def completed_pools(spark, d):
 
 @query(f"{WITH} SELECT e.model_id, count(*) AS still_to_ask FROM eo e WHERE NOT EXISTS (SELECT 1 FROM eo f WHERE f.model_id = e.model_id AND f.pool_id = e.pool_id AND f.left_uid = e.left_uid AND f.right_uid = e.right_uid AND f.outcome <> 'tie') GROUP BY e.model_id")
 def pairs_still_to_ask(spark, d):
-    rows = graph(spark, d).withColumn("pair_key", F.concat_ws("|", "model_id", "pool_id", "left_uid", "right_uid"))
-    left = merging.remaining(rows, rows.where("outcome <> 'tie'"), "pair_key")
+    rows, edge = graph(spark, d), [*KEYS, *graphs.ENDS]
+    left = merging.remaining(rows.select(*edge), rows.where("outcome <> 'tie'"), edge)
     return left.groupBy("model_id").agg(F.count("*").alias("still_to_ask"))
 
 
