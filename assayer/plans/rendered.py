@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
+from ..operators.bestofn import spread
 from ..schemas import VARIANTS
 from .catalog import long, query
 from .proxies import table
@@ -40,7 +41,8 @@ def _objects(factor: str, d: Column, n: Column) -> dict[str, Column]:
 
 
 def triplets(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part")
+    # A part is a few bytes of its file and much work, so the file's few splits are dealt to all cores.
+    parts = spread(table(spark, d, "part"), ("p_partkey",))
     kind, defect = F.col("p_partkey") % 4, F.floor(F.col("p_partkey") / 4) % 12
     n = (1 + F.col("p_size") % 3).cast("int")
     made = {f: _objects(f, defect, n) for f in FACTOR}
