@@ -123,3 +123,10 @@ def test_no_side_of_a_graphs_joins_is_broadcast(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_a_pairs_digest_is_taken_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["tournament_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("sha2(") <= 2  # the digest, and no more of it for each column
