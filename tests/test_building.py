@@ -190,3 +190,10 @@ def test_documents_keep_their_braces_whatever_the_sizes_of_shuffles(spark, tmp_p
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted((int(r["id"]), r["c_name"], r["c_nationkey"]) for r in got) == [(i, f"Customer#{i}", i % 7) for i in range(60000)]
+
+
+def test_parts_of_a_small_file_are_dealt_to_all_tasks(spark):
+    from assayer.plans import rendered
+
+    rows = rendered.triplets(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
