@@ -7,9 +7,8 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.readers import _path, exists
@@ -35,32 +34,6 @@ def journal_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return lines.where(~F.col("_bad") & ~blank).select("r.*").drop("_corrupt_record"), lines.where("_bad").select("_file", "line")
 
 
-class Appending(StatefulProcessor):
-    """Lets the first row of each key pass, and nothing that repeats it; the state of a key is its row's digest."""
-
-    def __init__(self, key: str, names: list[str]) -> None:
-        self.key, self.names = key, names
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("digest", "digest string")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self.seen.update((initialState["_digest"],))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.seen.get()[0] if self.seen.exists() else None
-        for row in rows:
-            if known is None:
-                known = row["_digest"]
-                self.seen.update((known,))
-                yield Row(**{n: row[n] for n in self.names})
-            elif known != row["_digest"]:
-                raise ValueError(f"conflicting rows in the journal: {key[0]}")
-
-    def close(self) -> None:
-        pass
-
-
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -79,20 +52,40 @@ def _put(batch: DataFrame, journal: str, name: str) -> None:
     fs.delete(folder, True)
 
 
+def _known(stream: DataFrame, journal: str, place: str, key: str, digest: Column) -> DataFrame:
+    """A stream of the keys and digests that the journal had when this was first called for place, where they are written once."""
+    spark = stream.sparkSession
+    if not exists(spark, f"{place}/_SUCCESS"):
+        before = spark.read.schema(stream.schema).parquet(journal) if exists(spark, journal) else spark.createDataFrame([], stream.schema)
+        before.select(key, digest).write.mode("overwrite").parquet(place)
+    return spark.readStream.schema(stream.select(key, digest).schema).parquet(place)
+
+
 def append_journal(stream: DataFrame, journal: str, checkpoint: str, key: str, **trigger):
     """A query that appends rows with new keys. A row like one that is there is ignored; the same key with other values stops it.
 
-    Keys are in the state store, a digest each, so a batch costs what it brings, whatever the journal's size; rows that the
-    journal has when the query first starts are the store's initial state. A batch that runs again replaces its own files. The
-    store is RocksDB, which stateful processors need; trigger is that of writeStream, everything there is by default.
+    Keys with a digest each are in the state store, and a key's row beside them, so a batch costs what it brings, whatever the
+    journal's size; keys that the journal has when the query first starts come before the stream, from a folder of the checkpoint.
+    Of equal rows the first passes into the sums of its key, so a key is touched only by what is new: its first row, or one that
+    conflicts. A batch that runs again replaces its own files. The store is RocksDB; trigger is that of writeStream, everything
+    there is by default.
     """
     spark, names = stream.sparkSession, stream.columns
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    digest = F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256).alias("_digest")
-    before = spark.read.schema(stream.schema).parquet(journal) if exists(spark, journal) else spark.createDataFrame([], stream.schema)
-    fresh = stream.select("*", digest).groupBy(key).transformWithState(statefulProcessor=Appending(key, names), outputStructType=stream.schema, outputMode="Append", timeMode="None", initialState=before.select(key, digest).groupBy(key))
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}), 256)).alias("_digest")
+    known = _known(stream, journal, f"{checkpoint}/known", key, digest)
+    rows = stream.select(F.col(key).alias("_key"), digest, F.lit(False).alias("_old"), F.struct(*names).alias("_row"))
+    old = known.select(F.col(key).alias("_key"), "_digest", F.lit(True).alias("_old"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    passed = rows.union(old).dropDuplicates(["_key", "_digest", "_old"])
+    sums = passed.groupBy("_key").agg(F.min("_digest").alias("_low"), F.max("_digest").alias("_high"), F.bool_or("_old").alias("_old"), F.first("_row", ignorenulls=True).alias("_row"))
+    conflict = F.raise_error(F.concat(F.lit("conflicting rows in the journal: "), F.coalesce(F.col("_key").cast("string"), F.lit("null"))))
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
-    return fresh.writeStream.foreachBatch(lambda batch, epoch: _put(batch, journal, f"{run}-{epoch:012d}")).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger or {"availableNow": True})
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        fresh = batch.where(F.when(F.col("_low") == F.col("_high"), ~F.col("_old")).otherwise(conflict.cast("boolean"))).select("_row.*")
+        _put(fresh, journal, f"{run}-{epoch:012d}")
+
+    return sums.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(**trigger or {"availableNow": True})
 
 
 def route_failures(stream: DataFrame, folder: str, checkpoint: str, status: str = "status"):

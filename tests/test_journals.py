@@ -55,6 +55,23 @@ def test_journal_keeps_keys_in_state(spark, tmp_path):
         assert read() == [("a", 1), ("b", 2), ("c", None), ("old", 0)]
 
 
+def test_a_journal_is_appended_to_without_python_for_each_key(spark, tmp_path):
+    source, journal, check = str(tmp_path / "in"), str(tmp_path / "journal"), str(tmp_path / "check")
+    schema = "k long, v double"
+    spark.createDataFrame([(None, 0.0), (1, None)], schema).write.parquet(journal)
+    spark.createDataFrame([(None, 0.0), (1, None), (2, 0.5), (2, 0.5), (3, None)], schema).write.parquet(source)
+    query = journals.append_journal(spark.readStream.schema(schema).parquet(source), journal, check, "k").start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)  # what explain() prints
+    assert "StateStoreSave" in plan and "Python" not in plan and "Pandas" not in plan
+    assert sorted(map(str, spark.read.schema(schema).parquet(journal).collect())) == sorted(map(str, spark.createDataFrame([(None, 0.0), (1, None), (2, 0.5), (3, None)], schema).collect()))
+    # A row that conflicts with one that the journal had before the query stops it.
+    spark.createDataFrame([(1, 7.0)], schema).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="conflicting rows in the journal: 1"):
+        journals.append_journal(spark.readStream.schema(schema).parquet(source), journal, check, "k").start().awaitTermination()
+    assert spark.read.schema(schema).parquet(journal).count() == 4
+
+
 def test_a_batch_that_runs_again_replaces_its_files(spark, tmp_path):
     journal = str(tmp_path / "j")
     for n in (3, 2):
