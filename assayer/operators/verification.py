@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import close
 from .bestofn import selections
 
+#: Rows of both sides that one task of provenance_problems gets, about.
+ROWS_PER_TASK = 1 << 19
+REPEATED = 4096
 CHOSEN = ("n", "selected_uid", "success")
 
 
@@ -39,21 +42,32 @@ def bundle_problems(required: DataFrame, present: DataFrame, references: DataFra
     return reduce(DataFrame.union, [listed(required, "missing file"), listed(references, "missing image"), wrong, twice])
 
 
+def _times(df: DataFrame, n: Column) -> DataFrame:
+    """Each row n times; a large n in two steps, so that no array is longer than REPEATED unless n is over its square."""
+    many = df.withColumn("_n", n).where("_n > 0").withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(REPEATED).cast("long"))))
+    return many.withColumn("_at", F.explode(F.array_repeat(F.lit(0), F.least(F.col("_n") - F.col("_at"), F.lit(REPEATED)).cast("int")))).drop("_n", "_at")
+
+
 def provenance_problems(rows: DataFrame, source: DataFrame, key: str, fields: tuple[str, ...], statuses: tuple[str, ...], status: str = "status") -> DataFrame:
-    """(check, key) for rows without a source, sources without a row, repeated keys, unknown statuses and fields that differ."""
-    named = lambda df, check: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias(key))
-    differs = reduce(lambda a, b: a | b, [~F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields])
-    both = rows.select(key, *fields).join(source.select(key, *[F.col(f).alias(f"_{f}") for f in fields]), key)
-    return reduce(
-        DataFrame.union,
-        [
-            named(rows.join(source.select(key), key, "left_anti"), "unknown item"),
-            named(source.join(rows.select(key), key, "left_anti"), "missing item"),
-            named(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated item"),
-            named(rows.where(~F.coalesce(F.col(status).isin(*statuses), F.lit(False))), "unknown status"),
-            named(both.where(differs), "other fields"),
-        ],
-    )
+    """(check, key) for rows without a source, sources without a row, repeated keys, unknown statuses and fields that differ.
+
+    Both sides are counted when this is called, and dealt out once by key into so many tasks that one gets about ROWS_PER_TASK
+    rows, whatever their number. A null key has no partner on the other side.
+    """
+    tagged = rows.select(F.col(key).alias("_key"), *fields, F.lit(1).alias("_r"), F.lit(0).alias("_s")).union(source.select(F.col(key).alias("_key"), *fields, F.lit(0).alias("_r"), F.lit(1).alias("_s")))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tagged.count() // ROWS_PER_TASK))
+    alike = tagged.repartition(tasks, "_key").groupBy("_key", *fields).agg(F.sum("_r").alias("_r"), F.sum("_s").alias("_s"))
+    keys = alike.groupBy("_key").agg(F.sum("_r").alias("_r"), F.sum("_s").alias("_s"), F.sum(F.col("_r") * F.col("_s")).alias("_same"))
+    r, s, same, null = F.col("_r"), F.col("_s"), F.col("_same"), F.col("_key").isNull()
+    counts = {
+        "unknown item": F.when(null | (s == 0), r),
+        "missing item": F.when(null | (r == 0), s),
+        "repeated item": (r > 1).cast("long"),
+        "other fields": F.when(~null, r * s - same),
+    }
+    found = keys.select(F.col("_key").cast("string").alias(key), F.explode(F.array(*[F.struct(F.lit(check).alias("check"), F.coalesce(n, F.lit(0)).cast("long").alias("n")) for check, n in counts.items()])).alias("_c"))
+    dealt = _times(found, F.col("_c.n")).select("_c.check", key)
+    return dealt.union(rows.where(~F.coalesce(F.col(status).isin(*statuses), F.lit(False))).select(F.lit("unknown status").alias("check"), F.col(key).cast("string").alias(key)))
 
 
 def certificates(values: DataFrame, published: DataFrame, tolerance: float = 1e-9) -> DataFrame:

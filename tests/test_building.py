@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import scenes
-from assayer.operators import bestofn, graphs, ranking, selecting
+from assayer.operators import bestofn, graphs, ranking, selecting, verification
 from assayer.operators import statistics as S
 from assayer.sources import archives, readers, writers
 
@@ -197,3 +197,19 @@ def test_parts_of_a_small_file_are_dealt_to_all_tasks(spark):
 
     rows = rendered.triplets(spark, "/root/testdata/sf0.001")
     assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_provenance_deals_rows_out_once_by_their_number(spark, monkeypatch):
+    schema = "item long, factor string, status string"
+    rows = spark.createDataFrame([(1, "a", "F"), (2, "b", "F"), (2, "x", "?"), (3, None, "O"), (None, "a", None), (None, "a", "F"), (9, "a", "F")], schema)
+    source = spark.createDataFrame([(1, "a", ""), (2, "b", ""), (2, "c", ""), (3, None, ""), (4, "d", ""), (4, "d", ""), (None, "a", "")], schema)
+    monkeypatch.setattr(verification, "ROWS_PER_TASK", 2)
+    monkeypatch.setattr(verification, "REPEATED", 2)
+    found = verification.provenance_problems(rows, source, "item", ("factor",), ("F", "O"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(_key" in plan and ", 7), REPARTITION_BY_NUM" in plan
+    want = [("unknown item", "9"), *[("unknown item", None)] * 2, *[("missing item", "4")] * 2, ("missing item", None), ("repeated item", "2"), ("repeated item", None)]
+    want += [*[("other fields", "2")] * 3, ("unknown status", "2"), ("unknown status", None)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    many = spark.createDataFrame([(5, "a", "F")] * 9, schema)
+    assert verification.provenance_problems(many, source.limit(0), "item", ("factor",), ("F",)).groupBy("check").count().orderBy("check").collect() == [("repeated item", 1), ("unknown item", 9)]
