@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a group that one Python task holds whole.
 GROUP_BYTES = 8 << 20
+#: Rows of an Arrow batch that a Python task turns into Python objects at once.
+SLICE_ROWS = 512
 #: Spark's setting by which a query deletes its shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -96,6 +99,15 @@ def bytes_list(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, SLICE_ROWS at a time: what a worker makes of a batch in Python, and sends back, stays small. At the end Arrow
+    gives back what it has freed; a worker outlives its task, and the memory is other stages' then."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import census
-from .common import bytes_list, cut, documents, forget, mix64, n_groups, text_bytes, word_hashes
+from .common import bytes_list, cut, documents, forget, mix64, n_groups, sliced, text_bytes, word_hashes
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -72,7 +72,7 @@ def sets_of(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, size and name of every row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for data in bytes_list(batch.column(1)):
                 s = shingles(data, k)

@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, every, forget, fresh
+from .common import cut, documents, every, forget, fresh, sliced
 
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 64_000
 CACHED_LENGTH = 40
 
 
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             values = own.score([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], into])
