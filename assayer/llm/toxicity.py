@@ -6,7 +6,8 @@ softmax layer maps that vector to the two classes. Table and layer are trained t
 training never saw still shares most of its n-grams with the insult.
 
 Scoring needs only the table's projection on the difference of the two class weights: one float for each subword, a
-broadcast of fixed size. Words repeat, so each Python worker keeps the values of words it has met in a bounded cache.
+broadcast of fixed size. Words repeat, so each Python worker keeps the values of words it has met in a bounded cache; those that
+it lacks are hashed by columns, all words of some texts at once.
 
 Defined results: a null or empty text scores the class prior. Repeated rows score alike; a null id keeps its row; a table
 without rows gives none; other columns pass through untouched. If one class is missing among the labels, the prior decides.
@@ -19,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ from .common import cut, documents, every, forget, fresh, sliced
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 64_000
 CACHED_LENGTH = 40
+#: Bytes of words whose n-grams are hashed at once.
+HASHED_BYTES = 1 << 16
+#: Characters of texts whose words are looked up at once; a longer text comes alone.
+SCORED_CHARS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -59,6 +65,38 @@ def subwords(word: str, settings: Settings) -> list[int]:
     return [zlib.crc32(marked) & mask] + [zlib.crc32(marked[i : i + n]) & mask for n in settings.ngrams for i in range(size - n + 1)]
 
 
+@lru_cache
+def effects(n: int) -> np.ndarray:
+    """What each byte value adds, by exclusive or, to the CRC-32 of any string that ends n bytes after it."""
+    return np.array([zlib.crc32(bytes([b]) + bytes(n)) ^ zlib.crc32(bytes(n + 1)) for b in range(256)], np.uint32)
+
+
+def gram_sums(marked: list[bytes], settings: Settings, table: np.ndarray) -> np.ndarray:
+    """For each marked word, the sum of the table's values over its n-grams: the rows of `subwords` but the first. CRC-32 is
+    linear, so the hash of the n bytes from a place on is that of the n - 1 bytes after it and the effect of one byte more.
+    A word's values are added one after the other, so its sum is the same to the last bit wherever the word lies."""
+    raw = np.frombuffer(b"".join(marked), np.uint8)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(lengths)
+    sums, longest = np.zeros(len(marked)), max(settings.ngrams, default=1)
+    for at in range(0, len(raw), HASHED_BYTES):
+        stop = min(at + HASHED_BYTES, len(raw))
+        first, last = np.searchsorted(ends, (at, stop - 1), "right")
+        end = ends[first : last + 1]
+        inside = np.minimum(end, stop) - np.maximum(end - lengths[first : last + 1], at)
+        left = np.repeat(end, inside) - np.arange(at, stop)
+        part = raw[at : stop + longest - 1]
+        values, hashed = np.zeros(stop - at), np.zeros(len(part) + 1, np.uint32)
+        for n in range(1, longest + 1):
+            hashed = effects(n - 1)[part[: max(0, len(part) - n + 1)]] ^ hashed[1:]
+            if n in settings.ngrams:
+                rows = (hashed[: stop - at] ^ np.uint32(zlib.crc32(bytes(n)))) & np.uint32(settings.buckets - 1)
+                values[: len(rows)] += np.where(left[: len(rows)] >= n, table[rows], 0)
+        values[0] += sums[first]
+        sums[first : last + 1] = np.bincount(np.repeat(np.arange(len(end)), inside), values, len(end))
+    return sums
+
+
 @dataclass
 class Model:
     """table: a float for each subword, the projection of its embedding on the difference of the class weights."""
@@ -71,32 +109,43 @@ class Model:
     def __getstate__(self):
         return {"table": self.table, "bias": self.bias, "settings": self.settings, "words": {}}
 
-    def learn(self, words: set[str]) -> dict[str, float]:
+    def learn(self, words: Iterable[str]) -> dict[str, float]:
         """Values of words that the cache lacks."""
-        new = sorted(words)
-        rows = [subwords(w, self.settings) for w in new]
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = self.table[np.concatenate([np.asarray(r, np.int64) for r in rows])]
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        return dict(zip(new, (np.add.reduceat(flat, starts) / lengths).tolist(), strict=True))
+        new = list(words)
+        marked = [f"<{w}>".encode() for w in new]
+        whole = self.table[np.fromiter(map(zlib.crc32, marked), np.int64, len(new)) & (self.settings.buckets - 1)]
+        lengths = np.fromiter(map(len, marked), np.int64, len(new))
+        counts = 1 + sum(np.maximum(lengths - n + 1, 0) for n in self.settings.ngrams)
+        return dict(zip(new, ((whole + gram_sums(marked, self.settings, self.table)) / counts).tolist(), strict=True))
+
+    def means(self, found: list[list[str]]) -> list[float]:
+        """Mean value of the words of each text; what the cache lacks is learned for all of them at once."""
+        known, own = self.words, set().union(*found)
+        missing = own.difference(known)
+        if missing and len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
+            missing = own
+        if missing:
+            known.update(self.learn(missing))
+        out = [sum(map(known.__getitem__, words)) / len(words) if words else 0.0 for words in found]
+        for w in missing:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probability of the toxic class for each text."""
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            found = WORD.findall(text.lower())
-            known = self.words
-            missing = {w for w in found if w not in known}
-            if missing and len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = set(found)
-            if missing:
-                known.update(self.learn(missing))
-            mean = sum(map(known.__getitem__, found)) / len(found) if found else 0.0
-            for w in missing:
-                if len(w) > CACHED_LENGTH:
-                    del known[w]
-            out[i] = self.settings.gain * mean + self.bias
+        means, found, chars = [], [], 0
+        for text in texts:
+            found.append(WORD.findall(text.lower()))
+            chars += len(text)
+            if chars >= SCORED_CHARS:
+                means += self.means(found)
+                found, chars = [], 0
+        means += self.means(found)
+        out = self.settings.gain * np.array(means) + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(out, -60, 60)))
 
 

@@ -1,6 +1,8 @@
 import random
+import time
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from assayer.llm import toxicity as tox
@@ -55,3 +57,41 @@ def test_cache_is_bounded(monkeypatch):
     bounded = model.score(texts)
     monkeypatch.setattr(tox, "CACHE_WORDS", 10**6)
     assert abs(bounded - free.score(texts)).max() < 1e-12 and len(model.words) <= 8
+
+
+def test_values_of_words(monkeypatch):
+    """A word's value is the mean of its rows of the table, wherever its bytes are cut for hashing."""
+    model = tox.Model(np.random.default_rng(1).normal(0, 1, 1 << 16).astype(np.float32), 0.0)
+    words = ["a", "ab", "abc", "é", "日本語", "ΣΑΣ", "0", "idiot", "x" * 300, "日" * 50, "😀b"]
+    want = {w: float(model.table[tox.subwords(w, model.settings)].astype(float).mean()) for w in words}
+    for size in (1, 2, 7, 1 << 16):
+        monkeypatch.setattr(tox, "HASHED_BYTES", size)
+        got = model.learn(words)
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in words)
+        assert got == {w: model.learn([w])[w] for w in words} == model.learn(words[::-1])
+
+
+def test_grouped_texts_score_as_alone(monkeypatch):
+    model = tox.Model(np.random.default_rng(1).normal(0, 0.1, 1 << 16).astype(np.float32), 0.0)
+    rng = random.Random(5)
+    texts = ["", "...", *(prose(rng, rng.randrange(60)) for _ in range(50)), "", "é" * 90 + " a"]
+    alone = [tox.Model(model.table, 0.0).score([t])[0] for t in texts]
+    for size in (1, 500, 1 << 17):
+        monkeypatch.setattr(tox, "SCORED_CHARS", size)
+        assert abs(model.score(texts) - alone).max() < 1e-12
+    assert len(model.score([])) == 0
+
+
+def test_new_words_are_hashed_by_columns():
+    """Texts whose words are all new are scored in less time than their n-grams take one by one in Python."""
+    model = tox.Model(np.zeros(1 << 16, np.float32), 0.0)
+    words = [f"word{i}number{i * 7919}" for i in range(50_000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    plain = min(seconds(lambda: [tox.subwords(w, model.settings) for w in words]) for _ in range(2))
+    assert min(seconds(lambda: tox.Model(model.table, 0.0).score(texts)) for _ in range(2)) < 0.8 * plain
